@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
@@ -11,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,19 +35,20 @@ def shared_folder(spark: SparkSession) -> str:
 class Table:
     """A DataFrame written as Parquet to the shared folder: a short lineage that outlives lost executors."""
 
-    def __init__(self, df: DataFrame, tidy: bool = False) -> None:
-        """tidy: let the driver drop the shuffle files of finished queries now, not when it happens to collect garbage."""
+    def __init__(self, df: DataFrame) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/corpusloom-{uuid.uuid4().hex}"
         if not _written:
             atexit.register(_sweep)
         _written.append((self.spark, self.path))
-        df.write.parquet(self.path)
+        # Once the rows are written nobody reads the shuffle files that led to them.
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         self.schema = df.schema
-        if tidy:
-            del df
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
 
     @property
     def df(self) -> DataFrame:
