@@ -28,7 +28,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest id. Shingles of five words, Jaccard 0.8."""
-    found = Table(minhash.near_duplicates(docs), tidy=True).df
+    found = Table(minhash.near_duplicates(docs)).df
     copies = found.filter("not kept").select("doc_id").distinct()
     stay = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     rows, ids = found.filter("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
@@ -69,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        docs = out if n == len(STAGES) - 1 else Table(out, tidy=True).df
+        docs = out if n == len(STAGES) - 1 else Table(out).df
     return docs

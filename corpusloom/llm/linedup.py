@@ -54,15 +54,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     place = F.struct("doc_id", "pos")
     firsts = Table(
-        met.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "g", "first"), tidy=True
+        met.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "g", "first")
     )
     later = Table(
         met.join(firsts.df, ["h", "g"])
         .filter(place > F.col("first"))
         .groupBy(F.col("doc_id").alias(f"{_P}id"))
         .agg(F.collect_set(F.struct("pos", "h")).alias(f"{_P}later")),
-        tidy=True,
     )
+    firsts.drop()
     joined = docs.join(later.df, F.col(id_col).cast("long") == F.col(f"{_P}id"), "left").drop(f"{_P}id")
     place_of_text = docs.columns.index(text_col)
     schema = T.StructType(

@@ -106,7 +106,7 @@ def repeated_cells(docs: DataFrame, width: int, bits: int) -> list[np.ndarray]:
     merged = partial.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, bitmap binary")
     maps = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(2)]
     size = 1 << (bits - _SHARD_BITS - 3)
-    for shard, bitmap in merged.toLocalIterator():
+    for shard, bitmap in Table(merged).df.toLocalIterator():
         row, at = shard >> _SHARD_BITS, (shard & ((1 << _SHARD_BITS) - 1)) * size
         maps[row][at : at + size] = np.frombuffer(bitmap, np.uint8)
     return maps
@@ -159,8 +159,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     met = known.mapInArrow(candidates, "h long, g int, doc_id long")
     # Pre-aggregated map-side, then an equi-join whose hot passages AQE splits.
-    owners = Table(met.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first"), tidy=True)
-    later = Table(met.join(owners.df, ["h", "g"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("h").alias("later")), tidy=True)
+    owners = Table(met.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first"))
+    later = Table(met.join(owners.df, ["h", "g"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("h").alias("later")))
+    owners.drop()
     joined = docs.join(later.df, "doc_id", "left").select("doc_id", "text", "later")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
