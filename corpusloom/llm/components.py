@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +56,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     found = now.df
     nodes = found.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(found.select(F.col("b"), F.col("b"))).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning star for each component of local links: (node, smallest node)."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        after = label.copy()
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        after = after[after]
+        if (after == label).all():
+            return nodes, nodes[label]
+        label = after

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textscan as ts
-from corpusloom.llm.components import connected_components
+from corpusloom.llm.components import connected_components, local_stars
 from corpusloom.session import Table, ship
 
 U64 = np.uint64
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature array<int>"
-#: Rows below a key up to which all its open pairs are compared; larger keys are worked off by pivots.
-SMALL_KEY = 16
+#: A chunk of a cluster holds about so many sets, and so many shingles, at most.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
 _SHORT = U64(0x2545F4914F6CDD1D)
 
 
@@ -110,9 +110,9 @@ def near_duplicates(
     different texts are judged each by its own text. A null id is linked with nothing: component null, kept true.
     Other columns are ignored, empty tables give an empty table.
 
-    A pair at the threshold shares none of 32 bands of 4 minima with a chance of 5e-8. Equal sets are collapsed first;
-    below a band key, members are compared with pivots and only while their components differ, until each key lies in
-    one component or every open pair was compared: no cap and no lost links, and no emission of all pairs of a group.
+    A pair at the threshold shares none of 32 bands of 4 minima with a chance of 5e-8. Equal sets are collapsed first.
+    Below a band key, the smallest member is compared with all others; members of keys that then hold more than one
+    component meet in blocks that count exactly. No cap, no lost links, and no emission of all pairs of a group.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -155,59 +155,99 @@ def _links(docs, reps, width, percent, bands, rows, lower) -> DataFrame:
     ids = members.df.select(F.col("rep").alias("doc_id")).distinct()
     sets = Table(_sets(docs.join(ids, "doc_id", "left_semi"), width, lower).distinct())
     seen = Table(reps.join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").select("rep", "signature"))
-    tested = confirmed = None
-    # The first pivot of a key is its smallest member.
-    pairs = members.df.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    left = members.df.filter("rep <> pivot").select("key", "rep", F.lit(0).alias("round"))
-    met = members.df.select("key", "rep")
-    step = 0
-    while True:
-        fresh = pairs.distinct()
-        if tested is not None:
-            fresh = fresh.join(tested, ["a", "b"], "left_anti")
-        now = Table(fresh)
-        good = Table(_confirm(now.df, seen.df, sets.df, percent))
-        tested = now.df if tested is None else tested.union(now.df)
-        confirmed = good.df if confirmed is None else confirmed.union(good.df)
-        found = Table(connected_components(confirmed))
-        named = met.join(found.df.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        open_keys = Table(
-            named.groupBy("key")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-            .filter("low < high")
-        )
-        # A used pivot was compared with every member of its key and leaves it; a key of one component is done.
-        rest = left if step == 0 else left.filter("not used")
-        rest = rest.select("key", "rep").join(open_keys.df.select("key", "n"), "key")
-        rest = Table(
-            rest.join(found.df.withColumnRenamed("node", "rep"), "rep", "left").select(
-                "key", "rep", "n", F.coalesce("component", "rep").alias("component")
-            )
-        )
-        if rest.df.isEmpty():
-            return confirmed
-        step += 1
-        small, large = rest.df.filter(F.col("n") <= SMALL_KEY), rest.df.filter(F.col("n") > SMALL_KEY)
-        one, two = small.alias("x"), small.alias("y")
-        pairs = one.join(two, F.expr("x.key = y.key and x.rep < y.rep and x.component <> y.component")).select(
-            F.col("x.rep").alias("a"), F.col("y.rep").alias("b")
-        )
-        # Twice as many pivots each round: a key of m members ends after log2(m) rounds.
-        pivots = 2**step
-        order = F.xxhash64("rep", F.lit(step))
-        bound = Table(
-            large.withColumn("slot", F.pmod(F.xxhash64(F.lit(step), "rep", F.lit(3)), F.lit(pivots)))
-            .groupBy("key", "slot")
-            .agg(F.min_by(F.struct("rep", "component"), order).alias("p"))
-            .select("key", F.col("p.rep").alias("pivot"), F.col("p.component").alias("pivot_component"))
+    # The smallest member of a key is compared with every other one.
+    stars = Table(
+        members.df.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    )
+    confirmed = Table(_confirm(stars.df, seen.df, sets.df, percent))
+    found = Table(connected_components(confirmed.df))
+    named = Table(
+        members.df.join(found.df.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "key", "rep", "pivot", F.coalesce("component", "rep").alias("component")
         )
-        against = large.join(bound.df, "key").filter("rep <> pivot and component <> pivot_component")
-        pairs = pairs.union(against.select(F.least("rep", "pivot"), F.greatest("rep", "pivot")))
-        left = large.select("key", "rep").join(
-            bound.df.select("key", F.col("pivot").alias("rep"), F.lit(True).alias("used")), ["key", "rep"], "left"
-        ).select("key", "rep", F.coalesce("used", F.lit(False)).alias("used"))
+    )
+    # Keys that still hold several components: their members meet all others that such keys tie them to, directly or
+    # through one another, in blocks.
+    split = named.df.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    rest = Table(named.df.join(split.filter("low < high").select("key"), "key").select("rep", "pivot", "component").distinct())
+    if rest.df.isEmpty():
+        return confirmed.df
+    tied = Table(connected_components(rest.df, "pivot", "rep"))
+    placed = Table(
+        rest.df.select("rep", "component").distinct()
+        .join(tied.df.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+        .join(sets.df.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size")), "rep")
+    )
+    return confirmed.df.union(_block_links(placed.df, sets.df, percent))
+
+
+def _block_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each cluster of placed, links that tie its components together as all links between them would.
+
+    Clusters are dealt over pairs of chunks, so that a block never holds more than about two times BLOCK_DOCS sets or
+    BLOCK_SHINGLES shingles. A block counts all intersections at once, as products of 0/1 matrices, and gives a
+    spanning star for each set of linked members: no pairs leave it.
+    """
+    chunks = placed.groupBy("cluster").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("size") / BLOCK_SHINGLES)).alias("chunks")
+    )
+    blocks = (
+        placed.join(Table(chunks).df, "cluster")
+        .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .select("cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "component")
+    )
+    full = blocks.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep").select(
+        "cluster", "low", "high", "chunk", "rep", "component", "shingles"
+    )
+    dealt = full.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    names = ("cluster", "low", "high")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in names])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                own = tuple(key[:, begin].tolist())
+                if own != now and held:
+                    yield from links(held)
+                    held = []
+                now = own
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from links(held)
+
+    def links(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(parts).combine_chunks()
+        rep, component, chunk = (block.column(c).to_numpy() for c in ("rep", "component", "chunk"))
+        if len(np.unique(component)) < 2:
+            return
+        lists = block.column("shingles").chunk(0)
+        sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+        owner = np.repeat(np.arange(len(rep)), sizes)
+        _, at, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        common = np.cumsum(count > 1) - 1  # shingles of one set alone cannot be in an intersection
+        met = count[at] > 1
+        owner, at = owner[met], common[at[met]]
+        by = np.argsort(at, kind="stable")
+        owner, at = owner[by], at[by]
+        shared = np.zeros((len(rep), len(rep)), np.float32)
+        width = max(1, (4 << 20) // len(rep))
+        for begin in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+            lo, hi = np.searchsorted(at, (begin, begin + width))
+            ones = np.zeros((len(rep), width), np.float32)
+            ones[owner[lo:hi], at[lo:hi] - begin] = 1
+            shared += ones @ ones.T
+        union = sizes[:, None] + sizes[None, :] - shared
+        linked = np.triu((100 * shared >= percent * union) & (component[:, None] != component[None, :]), 1)
+        a, b = np.nonzero(linked)
+        if len(a):
+            node, root = local_stars(rep[a], rep[b])
+            yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(node)], ["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long").filter("a <> b")
 
 
 def _confirm(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

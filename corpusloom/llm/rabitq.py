@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.components import connected_components
+from corpusloom.llm.components import connected_components, local_stars
 from corpusloom.llm.vectors import dimension, matrix, takes_part, unit
 from corpusloom.session import Table, ship
 
@@ -56,22 +56,6 @@ def band_plan(n: int, threshold: float, bits: int, missed: float, seed: int) ->
     return np.stack([np.sort(rng.choice(bits, width, replace=False)) for _ in range(bands)])
 
 
-def _components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star for each component of local links: (node, smallest node)."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        after = label.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        after = after[after]
-        if (after == label).all():
-            return nodes, nodes[label]
-        label = after
-
-
 def embedding_near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -196,7 +180,7 @@ def embedding_near_duplicates(
         ids, at = np.unique(who, return_inverse=True)
         counts = np.zeros(len(ids), np.int64)
         np.add.at(counts, at, how)
-        node, root = _components(col["rep"][a], col["rep"][b])
+        node, root = local_stars(col["rep"][a], col["rep"][b])
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), pa.nulls(len(ids), pa.int64())], ["rep", "n", "root"])
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.zeros(len(node), np.int64)), pa.array(root)], ["rep", "n", "root"])
 
