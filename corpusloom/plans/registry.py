@@ -1,4 +1,441 @@
-"""Named queries of the reference's operators and their DuckDB SQL."""
+"""Named queries of the operator inventory and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusloom.plans import sqltext
+from corpusloom.plans.sqltext import GRAPH, WEIGHTS
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def both(name: str, final: str, ctes: str = "", *bases: str) -> None:
+    """A query whose SQL text runs on both engines."""
+    QUERIES[name] = lambda spark, sf_dir: sqltext.run(spark, sf_dir, bases, ctes, final)
+    ORACLES[name] = sqltext.text(bases, ctes, final)
+
+
+def pair(name: str, query: Query, final: str | None = None, ctes: str = "", *bases: str) -> None:
+    """A DataFrame query, with SQL for the other engine where it can be expressed."""
+    QUERIES[name] = query
+    if final is not None:
+        ORACLES[name] = sqltext.text(bases, ctes, final)
+
+
+# Cleaning (C1-C16), URLs (H7, H8), sources
+both("clean_mask", "SELECT doc_id, trim(source) AS name, trim(text) AS description FROM @documents WHERE text IS NOT NULL AND trim(text) <> '' AND trim(text) <> '.' AND lower(trim(text)) <> lower(trim(source))")
+both("clean_blank", "SELECT count(*) AS n_all, count(CASE WHEN length(trim(text)) > 0 THEN 1 END) AS n_kept FROM @documents")
+both("drop_values", "SELECT doc_id, source FROM @documents WHERE coalesce(source NOT IN ('src1', 'src2'), true) AND coalesce(lang <> 'de', true)")
+both("reorder_columns", "SELECT source AS name, lang AS region, n_chars, doc_id FROM @documents")
+both("semi_anti_filter", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS labelled FROM @documents d LEFT JOIN (SELECT DISTINCT doc_id FROM @labels) l ON l.doc_id = d.doc_id")
+_RANK = """raw AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN concat('=', CAST(o_orderkey AS STRING)) WHEN 1 THEN concat(CAST(o_orderkey AS STRING), '–', CAST(o_orderkey + 49 AS STRING))
+ WHEN 2 THEN concat(CAST(o_orderkey AS STRING), '+') WHEN 3 THEN 'N/A' WHEN 4 THEN ' ' ELSE concat(' ', CAST(o_orderkey AS STRING), ' ') END AS r FROM @orders)"""
+both("rank_clean", "SELECT o_orderkey, try_cast(trim(split_part(split_part(replace(replace(trim(r), '=', ''), '–', '-'), '-', 1), '+', 1)) AS DOUBLE) AS rank FROM raw", _RANK)
+both("region_map", "SELECT n.n_nationkey, n.n_name AS country, coalesce(r.r_name, 'Other') AS region FROM @nation n LEFT JOIN (SELECT * FROM @region WHERE r_name <> 'ASIA') r ON r.r_regionkey = n.n_regionkey")
+both("region_default", "SELECT coalesce(nullif(trim(lang), ''), 'Other') AS region, count(*) AS n FROM @documents GROUP BY 1")
+both("meta_align", "SELECT c.c_custkey, coalesce(n.n_name, 'Other') AS region, CAST(r.rank AS BIGINT) AS rank FROM @customer c LEFT JOIN @nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN (SELECT s_suppkey AS k, s_suppkey * 2 AS rank FROM @supplier) r ON r.k = c.c_custkey")
+_NORM = "trim(replace(replace(replace(replace(trim(lower(coalesce({0}, ''))), 'the ', ''), '-', ' '), 'university of', ''), 'university', ''))"
+both("name_norm", f"SELECT doc_id, {_NORM.format('source')} AS norm FROM @documents")
+both("distinct_names", "SELECT DISTINCT p_name AS name FROM @part")
+both("sum_changes", r"SELECT CAST(sum(n_chars) AS BIGINT) AS total FROM @documents")
+_A = f"a AS (SELECT {_NORM.format('s_name')} AS norm, max(s_name) AS name FROM @supplier GROUP BY 1), b AS (SELECT replace({_NORM.format('c_name')}, 'customer', 'supplier') AS norm, max(c_name) AS name FROM @customer GROUP BY 1)"
+both("name_exact", "SELECT a.name AS qs_name, b.name AS the_name, CAST(1 AS DOUBLE) AS score, 'Exact' AS method FROM a JOIN b ON a.norm = b.norm", _A)
+both("name_unmatched", "SELECT b.name AS name FROM b LEFT ANTI JOIN a ON a.norm = b.norm".replace("LEFT ANTI JOIN", "ANTI JOIN"), _A)
+both("name_mapping", "SELECT b.name AS qs_name, a.name AS the_name, CASE WHEN a.name IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS score, CASE WHEN a.name IS NULL THEN 'No Match' ELSE 'Exact' END AS method FROM b LEFT JOIN a ON a.norm = b.norm", _A)
+both("name_semi", "SELECT c.c_custkey, c.c_name FROM @customer c SEMI JOIN (SELECT b.name FROM b JOIN a ON a.norm = b.norm) m ON m.name = c.c_name", _A)
+_LEV = """p AS (SELECT DISTINCT p_name AS name FROM @part WHERE p_partkey % 4 = 0), q AS (SELECT DISTINCT p_name AS name FROM @part WHERE p_partkey % 4 <> 0),
+s AS (SELECT p.name AS a, q.name AS b, CAST(1 AS DOUBLE) - CAST(levenshtein(p.name, q.name) AS DOUBLE) / CAST(greatest(length(p.name), length(q.name)) AS DOUBLE) AS score FROM p JOIN q ON substring(p.name, 1, 3) = substring(q.name, 1, 3)),
+r AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b DESC) AS k FROM s WHERE score >= 0.6)"""
+both("fuzzy_lev", "SELECT a, b, round(score, 6) AS score FROM r WHERE k = 1", _LEV)
+both("match_bands", "SELECT count(CASE WHEN score > 0.8 THEN 1 END) AS high, count(CASE WHEN score BETWEEN 0.6 AND 0.7 THEN 1 END) AS low, count(*) AS n FROM r WHERE k = 1", _LEV)
+both("url_abs", "SELECT page_id, CASE WHEN substring(path, 1, 1) = '/' THEN concat('https://example.org', path) ELSE path END AS url FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN concat('/p', CAST(page_id AS STRING)) ELSE url END AS path FROM @pages) x")
+both("record_filter", "SELECT page_id, url FROM @pages WHERE url IS NOT NULL AND url <> '' AND page_id % 10 <> 3")
+both("url_repair", "SELECT page_id, replace(replace(url, ' ', ''), 'mp_/', '/') AS url FROM @pages")
+QUERIES["link_extract"] = lambda spark, d: spark.sql(rf"SELECT page_id, pos, link FROM parquet.`{d}/pages.parquet` LATERAL VIEW posexplode(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS pos, link")
+ORACLES["link_extract"] = r"""WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages) SELECT page_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS pos, unnest(l) AS link FROM l"""
+both("source_union", "SELECT source, count(*) AS n FROM (SELECT 'documents' AS source, text FROM @documents UNION ALL SELECT 'benchmark', text FROM @benchmark UNION ALL SELECT 'conversations', text FROM @conversations) x GROUP BY source")
+both("scan_limit", "SELECT doc_id, source FROM @documents ORDER BY doc_id LIMIT 200")
+both("labels_parse", "SELECT doc_id, CASE WHEN quality = 0 AND toxic = 0 THEN 'quality' WHEN quality >= toxic THEN 'quality' ELSE 'toxic' END AS dominant, greatest(quality, toxic) AS intensity FROM @labels")
+
+# Tokens and text
+both("tokens", "SELECT doc_id, pos, term FROM tok", "", "tok")
+both("token_modes", "SELECT doc_id, pos, term FROM tok WHERE pos < 20", "", "tok")
+both("regex_words", "SELECT word, count(*) AS n FROM wrd GROUP BY word", "", "wrd")
+both("word_freq", "SELECT term, count(*) AS n FROM tok GROUP BY term", "", "tok")
+both("top_words", "SELECT term, count(*) AS n FROM tok GROUP BY term ORDER BY n DESC, term LIMIT 50", "", "tok")
+both("title_case", "SELECT doc_id, upper(lang) AS title, lower(concat(source, ' ', lang)) AS label FROM @documents")
+both("outcome_counts", "SELECT count(CASE WHEN t.doc_id IS NULL THEN 1 END) AS missing, count(CASE WHEN t.n = 0 THEN 1 END) AS empty_, count(CASE WHEN t.n > 0 THEN 1 END) AS ok FROM @documents d LEFT JOIN (SELECT doc_id, count(CASE WHEN term LIKE 'th%' THEN 1 END) AS n FROM tok GROUP BY doc_id) t ON t.doc_id = d.doc_id", "", "tok")
+_PREV = "lagged AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM wrd)"
+both("kwic_prev", "SELECT prev AS word, count(*) AS n FROM lagged WHERE word = 'thnt' AND prev IS NOT NULL AND prev NOT IN ('the','a','an','of','in','to','for','and','on','with','its','their','our','have','has') GROUP BY prev ORDER BY n DESC, word LIMIT 15", _PREV, "wrd")
+_HIT = "hit AS (SELECT doc_id, pos FROM wrd WHERE word = 'thnt'), near AS (SELECT h.doc_id, h.pos AS hit_pos, w.pos, CASE WHEN w.word = 'thnt' THEN upper(w.word) ELSE w.word END AS word FROM hit h JOIN wrd w ON w.doc_id = h.doc_id AND w.pos BETWEEN h.pos - 6 AND h.pos + 6)"
+both("kwic_context", "SELECT doc_id, hit_pos, pos, word FROM near", _HIT, "wrd")
+both("window_filter", "SELECT DISTINCT w.doc_id, w.pos, w.word FROM wrd w JOIN hit h ON w.doc_id = h.doc_id AND w.pos BETWEEN h.pos - 5 AND h.pos + 5", "hit AS (SELECT doc_id, pos FROM wrd WHERE word IN ('thnt', 'entst'))", "wrd")
+both("punct_space", r"SELECT doc_id, length(regexp_replace(text, '([.,!?;:])([a-zA-Z])', '\1 \2', 'g')) AS n FROM @documents")
+QUERIES["punct_space"] = lambda spark, d: spark.sql(rf"SELECT doc_id, cast(length(regexp_replace(text, '([.,!?;:])([a-zA-Z])', '$1 $2')) as bigint) AS n FROM parquet.`{d}/documents.parquet`")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def _kwic_snip(spark, d):
+    from corpusloom.operators import text
+
+    return text.snippets(_docs(spark, d), "thnt")
+
+
+pair("kwic_snip", _kwic_snip, "SELECT h.doc_id, h.pos, array_to_string(list_transform(l[greatest(h.pos - 6, 0) + 1:h.pos + 7], lambda w: CASE WHEN w = 'thnt' THEN upper(w) ELSE w END), ' ') AS snippet FROM wrd h JOIN wrd0 ON wrd0.doc_id = h.doc_id WHERE h.word = 'thnt'", "", "wrd")
+
+
+def _kwic_sample(spark, d):
+    from pyspark.sql import functions as F
+
+    return _kwic_snip(spark, d).select("snippet").distinct().orderBy(F.md5("snippet")).limit(5)
+
+
+pair("kwic_sample", _kwic_sample, "SELECT snippet FROM (SELECT DISTINCT array_to_string(list_transform(l[greatest(h.pos - 6, 0) + 1:h.pos + 7], lambda w: CASE WHEN w = 'thnt' THEN upper(w) ELSE w END), ' ') AS snippet FROM wrd h JOIN wrd0 ON wrd0.doc_id = h.doc_id WHERE h.word = 'thnt') x ORDER BY md5(snippet) LIMIT 5", "", "wrd")
+
+
+def _ngrams(spark, d):
+    from corpusloom.operators import text
+
+    return text.ngrams_after(_docs(spark, d), ["of", "the"])
+
+
+pair("ngram_after", _ngrams, "SELECT ngram, count(*) AS n FROM (SELECT array_to_string(l[w.pos + 3:w.pos + 8], ' ') AS ngram FROM wrd w JOIN wrd0 ON wrd0.doc_id = w.doc_id WHERE w.word = 'of' AND l[w.pos + 2] = 'the' AND w.pos <= len(l) - 2 - 6 - 1) x GROUP BY ngram ORDER BY n DESC, ngram LIMIT 20", "", "wrd")
+
+# Merged words: the dictionary is the corpus's frequent words.
+_SPLIT = """dict AS (SELECT word FROM (SELECT lower(word) AS word, count(*) AS n FROM wrd GROUP BY 1) x WHERE n >= 50),
+vocab AS (SELECT DISTINCT word FROM wrd WHERE length(word) BETWEEN 5 AND 12), todo AS (SELECT word FROM vocab v ANTI JOIN dict d ON d.word = v.word),
+cuts AS (SELECT word, i FROM todo JOIN (SELECT CAST(doc_id AS INTEGER) AS i FROM @documents WHERE doc_id BETWEEN 2 AND 9) k ON i <= length(word) - 3),
+ok AS (SELECT c.word, min(c.i) AS i FROM cuts c JOIN dict l ON l.word = substring(c.word, 1, c.i) JOIN dict r ON r.word = substring(c.word, c.i + 1, 99) GROUP BY c.word)"""
+
+
+def _split_words(spark, d):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import text
+
+    words = _docs(spark, d).select(F.explode(text.word_tokens(F.col("text"))).alias("word"))
+    frequent = words.groupBy("word").count().filter("count >= 50")
+    return text.split_words(words.filter("length(word) between 5 and 12"), frequent).filter("changed").select("word", "fixed")
+
+
+pair("split_words", _split_words, "SELECT word, concat(substring(word, 1, i), ' ', substring(word, i + 1, 99)) AS fixed FROM ok", _SPLIT, "wrd")
+
+
+def _rewrite(spark, d):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import text
+
+    docs = _docs(spark, d)
+    words = docs.select(F.explode(text.word_tokens(F.col("text"))).alias("word"))
+    fixes = text.split_words(words, words.groupBy("word").count().filter("count >= 50"))
+    return text.rewrite_merged(docs, fixes).select("doc_id", "n_changes", F.md5("text").alias("text_md5"))
+
+
+pair("rewrite_merged", _rewrite)
+
+
+def _stem(spark, d):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions.stem import stems
+    from corpusloom.operators import text
+
+    return stems(text.token_rows(_docs(spark, d).filter(F.col("lang") == "en")))
+
+
+pair("stem_vocab", _stem)
+
+
+def _lemma(spark, d):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions.stem import lemmas
+    from corpusloom.operators import text
+
+    rows = text.token_rows(_docs(spark, d).filter(F.col("lang") == "en")).select("term").distinct()
+    return lemmas(rows, rows)
+
+
+_FORMS = " UNION ALL ".join(
+    f"SELECT term, concat(substring(term, 1, length(term) - {len(a)}), '{b}') AS lemma FROM v WHERE right(term, {len(a)}) = '{a}'"
+    for a, b in (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
+)
+pair("lemma_vocab", _lemma, "SELECT term, lemma FROM (SELECT f.term, f.lemma, row_number() OVER (PARTITION BY f.term ORDER BY length(f.lemma), f.lemma) AS r FROM forms f JOIN v k ON k.term = f.lemma) x WHERE r = 1", f"v AS (SELECT DISTINCT term FROM tok WHERE lang = 'en'), forms AS ({_FORMS} UNION ALL SELECT term, term FROM v)", "tok")
+
+# Matrices (M1-M18)
+both("tdm", "SELECT doc_id, term, tf FROM tf", WEIGHTS, "tok")
+both("tdm_shape", "SELECT count(DISTINCT doc_id) AS n_docs, count(DISTINCT term) AS n_terms, count(*) AS nnz FROM tf", WEIGHTS, "tok")
+both("df_filter", "SELECT term, df FROM kept_terms", WEIGHTS, "tok")
+both("sparsity", "SELECT round(100 * (1 - CAST(count(*) AS DOUBLE) / (CAST(max(n) AS DOUBLE) * CAST(count(DISTINCT term) AS DOUBLE))), 6) AS sparsity FROM kept CROSS JOIN n", WEIGHTS, "tok")
+_SWEEP = ", th AS (SELECT CAST(doc_id AS DOUBLE) / 100 AS t FROM @documents WHERE doc_id BETWEEN 0 AND 5)"
+both("threshold_sweep", "SELECT t, round(100 * (1 - CAST(sum(df) AS DOUBLE) / (CAST(max(n) AS DOUBLE) * CAST(count(*) AS DOUBLE))), 6) AS sparsity, count(*) AS words FROM dfreq CROSS JOIN n JOIN th ON df >= t * n AND df <= CAST(0.75 AS DOUBLE) * n GROUP BY t", WEIGHTS + _SWEEP, "tok")
+both("df_elbow", "SELECT term, CAST(row_number() OVER (ORDER BY df DESC, term) AS INTEGER) AS place, round(100 * CAST(df AS DOUBLE) / CAST(n AS DOUBLE), 6) AS pct FROM kept_terms CROSS JOIN n", WEIGHTS, "tok")
+both("tfidf", "SELECT doc_id, term, round(tfidf, 9) AS tfidf FROM w", WEIGHTS, "tok")
+both("topk_terms", "SELECT doc_id, term, rank FROM top100", WEIGHTS, "tok")
+both("binarize", "SELECT doc_id, term, 1 AS x FROM w WHERE tfidf > 0.01", WEIGHTS, "tok")
+both("vocab_align", "SELECT coalesce(a.term, b.term) AS term, coalesce(a.n, 0) AS n_en, coalesce(b.n, 0) AS n_de FROM (SELECT term, count(*) AS n FROM tok WHERE lang = 'en' GROUP BY term) a FULL OUTER JOIN (SELECT term, count(*) AS n FROM tok WHERE lang = 'de' GROUP BY term) b ON a.term = b.term", "", "tok")
+_COS = WEIGHTS + """, nrm AS (SELECT doc_id, sqrt(sum(tfidf * tfidf)) AS nrm FROM w GROUP BY doc_id),
+u AS (SELECT w.doc_id, term, tfidf / nrm AS u FROM w JOIN nrm ON nrm.doc_id = w.doc_id WHERE nrm > 0),
+cos AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.u * y.u) AS score FROM u x JOIN u y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id)"""
+both("cos_tfidf_pairs", "SELECT a, b, round(score, 8) AS score FROM cos", _COS, "tok")
+both("sim_stats", "SELECT round(avg(score), 8) AS mean, round(@pct(score, 0.5), 8) AS median, round(max(score), 8) AS high, round(min(score), 8) AS low FROM cos", _COS, "tok")
+both("sim_describe", "SELECT count(score) AS n, round(avg(score), 8) AS mean, round(stddev_samp(score), 8) AS std, round(@pct(score, 0.25), 8) AS p25, round(@pct(score, 0.5), 8) AS p50, round(@pct(score, 0.75), 8) AS p75 FROM cos", _COS, "tok")
+both("sim_bands", "SELECT a, b, round(score, 8) AS score, CASE WHEN score < 0.4 THEN 'low' ELSE 'high' END AS band FROM cos WHERE score < 0.02 OR score > 0.7", _COS, "tok")
+both("sim_hist", "SELECT CAST(least(floor((score - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, count(*) AS n FROM cos CROSS JOIN (SELECT min(score) AS lo, max(score) AS hi FROM cos) e GROUP BY 1", _COS, "tok")
+both("sim_box", "SELECT round(min(score), 8) AS low, round(@pct(score, 0.25), 8) AS q1, round(@pct(score, 0.5), 8) AS q2, round(@pct(score, 0.75), 8) AS q3, round(max(score), 8) AS high FROM cos", _COS, "tok")
+_JAC = "s AS (SELECT DISTINCT doc_id, term FROM tok WHERE lang = 'fr'), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id)"
+both("jaccard_pairs", "SELECT a, b, i, ca.n + cb.n - i AS u, round(CAST(i AS DOUBLE) / CAST(ca.n + cb.n - i AS DOUBLE), 8) AS score FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b", _JAC, "tok")
+_MAP = ", m AS (SELECT doc_id AS a, doc_id + 1 AS b FROM @documents WHERE doc_id % 2 = 0)"
+both("matched_sim", "SELECT m.a, m.b, round(coalesce(sum(x.u * y.u), 0), 8) AS cosine FROM m JOIN (SELECT DISTINCT doc_id FROM u) ua ON ua.doc_id = m.a JOIN (SELECT DISTINCT doc_id FROM u) ub ON ub.doc_id = m.b JOIN u x ON x.doc_id = m.a JOIN u y ON y.doc_id = m.b AND y.term = x.term GROUP BY m.a, m.b", _COS + _MAP, "tok")
+both("matched_jaccard", "SELECT m.a, m.b, count(*) AS i FROM m JOIN s x ON x.doc_id = m.a JOIN s y ON y.doc_id = m.b AND y.term = x.term GROUP BY m.a, m.b", _JAC + _MAP, "tok")
+
+
+def _vectors(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+def _dense(spark, d):
+    from corpusloom.operators.dense import cosine_blocks
+
+    return cosine_blocks(_vectors(spark, d), least=0.3)
+
+
+pair("cos_dense_pairs", _dense, "SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)), 6) AS score FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE round(list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)), 6) >= 0.3", "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM @embeddings)")
+_CELL = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), cell AS (SELECT vec_id, label, CAST(unnest(range(0, len(e))) AS INTEGER) AS pos, unnest(e) AS x FROM v)"
+
+
+def _l2(spark, d):
+    from corpusloom.operators.dense import cells, l2norm
+    from pyspark.sql import functions as F
+
+    return cells(l2norm(_vectors(spark, d))).select("vec_id", "pos", F.round("x", 8).alias("x"))
+
+
+pair("l2norm", _l2, "SELECT vec_id, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 8) AS x FROM cell", _CELL)
+
+
+def _z(spark, d):
+    from corpusloom.operators.vectors import zscore
+    from pyspark.sql import functions as F
+
+    return zscore(_vectors(spark, d)).select("vec_id", "pos", F.round("z", 6).alias("z"))
+
+
+pair("zscore", _z, "SELECT vec_id, pos, round((x - avg(x) OVER (PARTITION BY pos)) / stddev_pop(x) OVER (PARTITION BY pos), 6) AS z FROM cell", _CELL)
+
+
+def _pca(spark, d):
+    from corpusloom.operators.vectors import pca
+    from pyspark.sql import functions as F
+
+    scores, ratio = pca(_vectors(spark, d), 30)
+    return scores.agg(F.count("*").alias("n"), F.round(F.lit(ratio), 8).alias("explained"))
+
+
+pair("pca_var", _pca)
+_SIL = _CELL + """, un AS (SELECT vec_id, label, pos, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS u FROM cell),
+cs AS (SELECT label, pos, sum(u) AS s FROM un GROUP BY label, pos), cn AS (SELECT label, count(*) AS n FROM v GROUP BY label),
+dots AS (SELECT un.vec_id, un.label, cs.label AS other, sum(un.u * cs.s) AS dot FROM un JOIN cs ON cs.pos = un.pos GROUP BY un.vec_id, un.label, cs.label),
+dist AS (SELECT vec_id, d.label, other, n, CASE WHEN d.label = other THEN CASE WHEN n > 1 THEN (n - 1 - (dot - 1)) / (n - 1) END ELSE 1 - dot / n END AS m FROM dots d JOIN cn ON cn.label = other),
+ab AS (SELECT vec_id, label, max(CASE WHEN label = other THEN m END) AS a, min(CASE WHEN label <> other THEN m END) AS b FROM dist GROUP BY vec_id, label),
+sil AS (SELECT vec_id, label, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ab)"""
+
+
+def _sil(spark, d):
+    from corpusloom.operators.dense import silhouette
+
+    return silhouette(_vectors(spark, d), "label")
+
+
+def _rounded(df, column, places=6):
+    from pyspark.sql import functions as F
+
+    return df.withColumn(column, F.round(column, places))
+
+
+pair("silhouette", lambda s, d: _rounded(_sil(s, d).select("vec_id", "s"), "s"), "SELECT vec_id, round(s, 6) AS s FROM sil", _SIL)
+
+
+def _sil_by(spark, d):
+    from pyspark.sql import functions as F
+
+    return _sil(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"))
+
+
+pair("silhouette_by_cluster", _sil_by, "SELECT label, count(*) AS n, round(avg(s), 6) AS mean FROM sil GROUP BY label", _SIL)
+
+
+def _ward(spark, d):
+    from corpusloom.operators.dense import cut, ward
+
+    v = _vectors(spark, d)
+    return cut(v, ward(v), 7)
+
+
+pair("ward_cut", _ward)
+
+
+def _ward_merges(spark, d):
+    from corpusloom.operators.dense import sampled, ward
+
+    return ward(sampled(_vectors(spark, d), 150))
+
+
+pair("ward_dendrogram", _ward_merges)
+
+
+def _sample150(spark, d):
+    from corpusloom.operators.dense import sampled
+
+    return sampled(_vectors(spark, d), 150).select("vec_id")
+
+
+pair("seeded_sample", _sample150, "SELECT vec_id FROM @embeddings ORDER BY md5(concat('42:', CAST(vec_id AS VARCHAR))), vec_id LIMIT 150")
+
+# Frequencies, trends, thesaurus, term groups
+_ERA = "era AS (SELECT CASE WHEN source < 'src15' THEN 'pre' ELSE 'post' END AS era, term, doc_id, source FROM tok)"
+both("era_pool", "SELECT era, term, count(*) AS n FROM era GROUP BY era, term", _ERA, "tok")
+both("region_pool", "SELECT lang AS region, count(*) AS n_tokens, count(DISTINCT doc_id) AS n_docs FROM tok GROUP BY lang", "", "tok")
+both("median_rank", "SELECT lang AS region, @pct(CAST(n_chars AS DOUBLE), 0.5) AS median, count(n_chars) AS n FROM @documents GROUP BY lang")
+both("region_floor", "SELECT region, n, CAST(floor((r - 1) / CAST(4 AS DOUBLE)) AS INTEGER) AS batch FROM (SELECT source AS region, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS r FROM tok GROUP BY source HAVING count(*) > 1000) x WHERE r <= 8", "", "tok")
+both("region_top", "SELECT region, term, n, CAST(r AS INTEGER) AS r FROM (SELECT lang AS region, term, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS r FROM tok GROUP BY lang, term) x WHERE r <= 10", "", "tok")
+both("wordcloud", "SELECT term, n, round(CAST(n AS DOUBLE) / CAST(max(n) OVER () AS DOUBLE), 8) AS size FROM (SELECT term, count(*) AS n FROM tok GROUP BY term ORDER BY n DESC, term LIMIT 60) x", "", "tok")
+_COOC = "top20 AS (SELECT term FROM (SELECT term, count(*) AS n FROM tok GROUP BY term ORDER BY n DESC, term LIMIT 20) x), own AS (SELECT DISTINCT t.doc_id, t.term FROM tok t JOIN top20 k ON k.term = t.term), prs AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY a.term, b.term)"
+both("cooc_pairs", "SELECT a, b, n FROM prs", _COOC, "tok")
+both("cooc_edges", "SELECT a, b, n FROM prs WHERE n >= 10 ORDER BY n DESC, a, b", _COOC, "tok")
+both("cooc_nodes", "SELECT term, count(DISTINCT doc_id) AS doc_freq FROM own GROUP BY term", _COOC, "tok")
+both("basket_pairs", "SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS n FROM @lineitem a JOIN @lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY a.l_partkey, b.l_partkey HAVING count(*) >= 3")
+both("timeline_10k", "SELECT s.source, k.term, round(10000 * CAST(coalesce(c.n, 0) AS DOUBLE) / CAST(s.total AS DOUBLE), 1) AS freq FROM (SELECT source, count(*) AS total FROM tok GROUP BY source) s CROSS JOIN top20 k LEFT JOIN (SELECT source, term, count(DISTINCT doc_id) AS n FROM tok GROUP BY source, term) c ON c.source = s.source AND c.term = k.term", _COOC, "tok")
+_TH = """ranks AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS r FROM tok GROUP BY term),
+th AS (SELECT term, CAST((r - 1) % 5 AS INTEGER) AS cat_pos, CASE (r - 1) % 5 WHEN 0 THEN 'EXCELLENCE' WHEN 1 THEN 'INNOVATION' WHEN 2 THEN 'SOCIETAL' WHEN 3 THEN 'CAREER' ELSE 'RESEARCH' END AS cat FROM ranks WHERE r <= 400),
+sc AS (SELECT t.doc_id, max(t.source) AS source, max(t.lang) AS lang, count(*) AS words, count(CASE WHEN cat_pos = 0 THEN 1 END) AS c0, count(CASE WHEN cat_pos = 1 THEN 1 END) AS c1, count(CASE WHEN cat_pos = 2 THEN 1 END) AS c2, count(CASE WHEN cat_pos = 3 THEN 1 END) AS c3, count(CASE WHEN cat_pos = 4 THEN 1 END) AS c4 FROM tok t LEFT JOIN th ON th.term = t.term GROUP BY t.doc_id),
+dom AS (SELECT sc.*, CASE WHEN greatest(c0, c1, c2, c3, c4) = 0 THEN 'Neutral' WHEN c0 = greatest(c0, c1, c2, c3, c4) THEN 'EXCELLENCE' WHEN c1 = greatest(c0, c1, c2, c3, c4) THEN 'INNOVATION' WHEN c2 = greatest(c0, c1, c2, c3, c4) THEN 'SOCIETAL' WHEN c3 = greatest(c0, c1, c2, c3, c4) THEN 'CAREER' ELSE 'RESEARCH' END AS dominant FROM sc)"""
+both("thesaurus_scores", "SELECT doc_id, words, c0, c1, c2, c3, c4 FROM sc", _TH, "tok")
+both("dominant", "SELECT doc_id, dominant FROM dom", _TH, "tok")
+both("crosstab", "SELECT source, count(CASE WHEN dominant = 'EXCELLENCE' THEN 1 END) AS excellence, count(CASE WHEN dominant = 'INNOVATION' THEN 1 END) AS innovation, count(CASE WHEN dominant = 'Neutral' THEN 1 END) AS neutral, count(*) AS n FROM dom GROUP BY source", _TH, "tok")
+both("radar", "SELECT source, round(1000 * CAST(sum(c0) AS DOUBLE) / CAST(sum(words) AS DOUBLE), 2) AS r0, round(1000 * CAST(sum(c1) AS DOUBLE) / CAST(sum(words) AS DOUBLE), 2) AS r1, round(1000 * CAST(sum(c4) AS DOUBLE) / CAST(sum(words) AS DOUBLE), 2) AS r4 FROM sc GROUP BY source", _TH, "tok")
+both("regional_share", "SELECT lang AS region, dominant, count(*) AS n, round(100 * CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY lang) AS DOUBLE), 1) AS share FROM dom WHERE dominant NOT IN ('CAREER', 'Neutral') GROUP BY lang, dominant", _TH, "tok")
+both("word_detail", "SELECT t.source, th.cat, t.term, count(*) AS n FROM tok t JOIN th ON th.term = t.term GROUP BY t.source, th.cat, t.term", _TH, "tok")
+_GR = "grp AS (SELECT term, CAST(r % 8 AS INTEGER) AS g FROM (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS r FROM tok GROUP BY term) x WHERE r <= 24), own AS (SELECT DISTINCT doc_id, lang, term FROM tok), hits AS (SELECT o.doc_id, o.lang, g.g, count(*) AS found FROM own o JOIN grp g ON g.term = o.term GROUP BY o.doc_id, o.lang, g.g), sz AS (SELECT g, count(*) AS size FROM grp GROUP BY g)"
+both("term_groups", "SELECT doc_id, h.g, found, size - found AS missing, CASE WHEN found = size THEN 'perfect' ELSE 'partial' END AS kind FROM hits h JOIN sz ON sz.g = h.g", _GR, "tok")
+both("term_group_top", "SELECT doc_id, g, found FROM (SELECT doc_id, g, found, row_number() OVER (PARTITION BY g ORDER BY found DESC, doc_id) AS r FROM hits) x WHERE r <= 20", _GR, "tok")
+both("term_occurrence", "SELECT g.g, g.term, count(*) AS docs FROM own o JOIN grp g ON g.term = o.term GROUP BY g.g, g.term", _GR, "tok")
+both("term_regions", "SELECT h.g, lang AS region, count(*) AS n, round(100 * CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY h.g) AS DOUBLE), 6) AS pct FROM hits h JOIN sz ON sz.g = h.g WHERE found = size GROUP BY h.g, lang", _GR, "tok")
+both("cluster_profile", "SELECT lang AS cluster, term, n, CAST(r AS INTEGER) AS r FROM (SELECT lang, term, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS r FROM top100 t JOIN (SELECT doc_id, lang FROM @documents) d ON d.doc_id = t.doc_id GROUP BY lang, term) x WHERE r <= 5", WEIGHTS.replace("lang = 'en'", "lang IS NOT NULL"), "tok")
+
+# The token graph
+both("jaccard_edges", "SELECT a, b, round(weight, 8) AS weight FROM edges", GRAPH, "tok")
+_ENT = GRAPH + """, dn AS (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS d FROM top100),
+ent0 AS (SELECT term, CAST(f AS DOUBLE) AS f, d, CAST(f AS DOUBLE) * (1 + 1e-10) + (d - f) * 1e-10 AS s FROM freq CROSS JOIN dn),
+ent AS (SELECT term, -(f * ((1 + 1e-10) / s) * ln((1 + 1e-10) / s) + (d - f) * (1e-10 / s) * ln(1e-10 / s)) AS entropy FROM ent0)"""
+both("entropy", "SELECT term, round(entropy, 8) AS entropy FROM ent", _ENT, "tok")
+both("generic_terms", "SELECT term, round(entropy, 8) AS entropy FROM ent ORDER BY entropy DESC, term LIMIT 10", _ENT, "tok")
+_KNN = _ENT + """, both_ AS (SELECT a, b, weight FROM jac UNION ALL SELECT b, a, weight FROM jac),
+nn AS (SELECT a, b, weight, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS r FROM both_ WHERE weight >= 0.2),
+knn AS (SELECT DISTINCT CASE WHEN ea.entropy > eb.entropy OR (ea.entropy = eb.entropy AND nn.a < nn.b) THEN nn.a ELSE nn.b END AS src, CASE WHEN ea.entropy > eb.entropy OR (ea.entropy = eb.entropy AND nn.a < nn.b) THEN nn.b ELSE nn.a END AS dst, weight FROM nn JOIN ent ea ON ea.term = nn.a JOIN ent eb ON eb.term = nn.b WHERE r <= 5)"""
+both("knn_edges", "SELECT src, dst, round(weight, 8) AS weight FROM knn", _KNN, "tok")
+both("weighted_degree", "SELECT term, round(sum(weight), 8) AS degree FROM (SELECT src AS term, weight FROM knn UNION ALL SELECT dst, weight FROM knn) x GROUP BY term", _KNN, "tok")
+both("degree_in_out", "SELECT term, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT src AS term, 1 AS o, 0 AS i FROM knn UNION ALL SELECT dst, 0, 1 FROM knn) x GROUP BY term", _KNN, "tok")
+_SYM = GRAPH + ", sym AS (SELECT a, b, weight FROM edges UNION ALL SELECT b, a, weight FROM edges), deg AS (SELECT a AS term, count(*) AS degree FROM sym GROUP BY a)"
+both("degree", "SELECT term, degree FROM deg", _SYM, "tok")
+both("degree_top", "SELECT term, degree FROM deg ORDER BY degree DESC, term LIMIT 10", _SYM, "tok")
+both("inverse_degree", "SELECT term, round(CAST((SELECT count(*) FROM deg) - 1 AS DOUBLE) / degree, 8) AS value FROM deg", _SYM, "tok")
+both("common_neighbors", "SELECT x.b AS a, y.b AS b, count(*) AS n FROM sym x JOIN sym y ON x.a = y.a AND x.b < y.b GROUP BY x.b, y.b", _SYM, "tok")
+_PR = 10
+
+
+def _graph_queries() -> None:
+    from corpusloom.operators import graph
+
+    pr = _KNN + ", nodes AS (SELECT src AS v FROM knn UNION SELECT dst FROM knn), nn_ AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), outw AS (SELECT src, sum(weight) AS o FROM knn GROUP BY src), p0 AS (SELECT v, 1 / n AS p FROM nodes CROSS JOIN nn_)"
+    for k in range(_PR):
+        pr += f""", g{k} AS (SELECT sum(CASE WHEN o.src IS NULL THEN p ELSE 0 END) AS g FROM p{k} LEFT JOIN outw o ON o.src = v),
+i{k} AS (SELECT dst, sum(p * weight / o) AS i FROM knn JOIN outw ON outw.src = knn.src JOIN p{k} ON v = knn.src GROUP BY dst),
+p{k + 1} AS (SELECT v, 0.15e0 / n + 0.85e0 * (coalesce(i, 0) + coalesce(g, 0) / n) AS p FROM nodes LEFT JOIN i{k} ON dst = v CROSS JOIN g{k} CROSS JOIN nn_)"""
+    pair("pagerank_k", lambda s, d: graph.pagerank(_knn(s, d), _PR), f"SELECT v AS node, round(p, 8) AS rank FROM p{_PR}", pr, "tok")
+    hits = _KNN + ", h0 AS (SELECT v, CAST(1 AS DOUBLE) AS h FROM (SELECT src AS v FROM knn UNION SELECT dst FROM knn) x)"
+    for k in range(_PR):
+        hits += f""", ra{k} AS (SELECT dst AS v, sum(weight * h) AS a FROM knn JOIN h{k} ON v = src GROUP BY dst), na{k} AS (SELECT sqrt(sum(a * a)) AS z FROM ra{k}),
+a{k} AS (SELECT h0.v, coalesce(a, 0) / z AS a FROM h0 LEFT JOIN ra{k} r ON r.v = h0.v CROSS JOIN na{k}),
+rh{k} AS (SELECT src AS v, sum(weight * a) AS h FROM knn JOIN a{k} ON v = dst GROUP BY src), nh{k} AS (SELECT sqrt(sum(h * h)) AS z FROM rh{k}),
+h{k + 1} AS (SELECT h0.v, coalesce(r.h, 0) / z AS h FROM h0 LEFT JOIN rh{k} r ON r.v = h0.v CROSS JOIN nh{k})"""
+    pair("hits_k", lambda s, d: graph.hits(_knn(s, d), _PR), f"SELECT h.v AS node, round(a, 8) AS authority, round(h, 8) AS hub FROM h{_PR} h JOIN a{_PR - 1} a ON a.v = h.v", hits, "tok")
+    katz = _SYM + ", k0 AS (SELECT term AS v, CAST(1 AS DOUBLE) AS x FROM deg)"
+    for k in range(12):
+        katz += f", k{k + 1} AS (SELECT a AS v, 0.01e0 * sum(x) AS x FROM sym JOIN k{k} ON v = b GROUP BY a)"
+    pair("katz_k", lambda s, d: graph.katz(_edges(s, d), 0.01, 12), "SELECT v AS node, round(sum(x), 10) AS katz FROM (" + " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(1, 13)) + ") x GROUP BY v", katz, "tok")
+    comp = _SYM + ", reach(node, root) AS (SELECT term, term FROM deg UNION SELECT s.b, r.root FROM reach r JOIN sym s ON s.a = r.node WHERE r.root < s.b), comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"
+    pair("components", lambda s, d: graph.components(_edges(s, d)), "SELECT node, component FROM comp", comp, "tok")
+    giant = comp + ", big AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), ge AS (SELECT s.a, s.b, s.weight FROM sym s JOIN comp c ON c.node = s.a JOIN big ON big.component = c.component)"
+    pair("giant_component", lambda s, d: graph.giant(_edges(s, d)).select("a", "b"), "SELECT a, b FROM ge WHERE a < b", giant, "tok")
+    dist = giant + ", d0 AS (SELECT DISTINCT a AS s, a AS v, 0 AS d, CAST(1 AS DOUBLE) AS sigma FROM ge), l0 AS (SELECT * FROM d0)"
+    levels = 14
+    for k in range(levels):
+        dist += f""", l{k + 1} AS (SELECT x.s, e.b AS v, {k + 1} AS d, sum(x.sigma) AS sigma FROM l{k} x JOIN ge e ON e.a = x.v ANTI JOIN d{k} y ON y.s = x.s AND y.v = e.b GROUP BY x.s, e.b),
+d{k + 1} AS (SELECT * FROM d{k} UNION ALL SELECT * FROM l{k + 1})"""
+    dist += f", dd AS (SELECT * FROM d{levels})"
+    pair("apsp", lambda s, d: graph.distances(graph.giant(_edges(s, d))).select("s", "v", "d"), "SELECT s, v, d FROM dd", dist, "tok")
+    pair("closeness", lambda s, d: graph.closeness(graph.distances(graph.giant(_edges(s, d)))), "SELECT s AS node, round(CASE WHEN sum(d) > 0 THEN CAST(count(*) - 1 AS DOUBLE) / CAST(sum(d) AS DOUBLE) ELSE 0 END, 8) AS closeness FROM dd GROUP BY s", dist, "tok")
+    pair("eccentricity", lambda s, d: graph.eccentricity(graph.distances(graph.giant(_edges(s, d)))), "SELECT s AS node, max(d) AS far, round(1 / CAST(max(d) AS DOUBLE), 8) AS eccentricity FROM dd GROUP BY s", dist, "tok")
+    pair("center_periphery", lambda s, d: graph.center_periphery(graph.distances(graph.giant(_edges(s, d)))), "SELECT node, far, CASE WHEN far = lo THEN 'center' ELSE 'periphery' END AS kind FROM (SELECT node, far, min(far) OVER () AS lo, max(far) OVER () AS hi FROM (SELECT s AS node, max(d) AS far FROM dd GROUP BY s) x) y WHERE far = lo OR far = hi", dist, "tok")
+    between = "SELECT n.v AS node, round(coalesce(b, 0) / ((c - 1) * (c - 2) / 2), 8) AS betweenness FROM (SELECT DISTINCT s AS v FROM dd) n LEFT JOIN (SELECT x.v, sum(x.sigma * y.sigma / z.sigma) AS b FROM dd x JOIN dd y ON y.s = x.v JOIN dd z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.s < y.v AND x.d > 0 AND y.d > 0 GROUP BY x.v) t ON t.v = n.v CROSS JOIN (SELECT CAST(count(DISTINCT s) AS DOUBLE) AS c FROM dd) k"
+    pair("betweenness", lambda s, d: graph.betweenness(graph.distances(graph.giant(_edges(s, d)))), between, dist, "tok")
+    pair("freeman_betweenness", lambda s, d: graph.betweenness(graph.distances(graph.giant(_edges(s, d))), normalised=False), between.replace(" / ((c - 1) * (c - 2) / 2)", ""), dist, "tok")
+    pair("rcc_top", lambda s, d: graph.residual_closeness(graph.giant(_edges(s, d)), top=5))
+    pair("louvain", lambda s, d: graph.communities(_edges(s, d)))
+    pair("broker_context", lambda s, d: graph.brokers(_edges(s, d), graph.communities(_edges(s, d))))
+    pair("gexf_export", lambda s, d: graph.gexf_rows(_edges(s, d)))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    from corpusloom.session import Table
+
+    return Table(sqltext.run(spark, d, ("tok",), GRAPH, "SELECT a, b, weight FROM edges")).df
+
+
+def _knn(spark: SparkSession, d: str) -> DataFrame:
+    from corpusloom.session import Table
+
+    return Table(sqltext.run(spark, d, ("tok",), _KNN, "SELECT src, dst, weight FROM knn")).df
+
+
+_graph_queries()
+
+
+def _fuzzy(spark, d):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators.match import best_matches
+
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("name"), "p_partkey")
+    return best_matches(part.filter("p_partkey % 4 = 0").select("name").distinct(), part.filter("p_partkey % 4 <> 0").select("name").distinct())
+
+
+pair("fuzzy_best", _fuzzy)
+
+
+def _page_text(spark, d):
+    from corpusloom.functions.html import page_fields
+
+    return page_fields(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+pair("page_text", _page_text)
+
+
+def _features(spark, d):
+    from corpusloom.sources.features import features_json
+
+    return features_json(sqltext.run(spark, d, ("tok",), WEIGHTS, "SELECT doc_id, term, rank FROM top100"), _docs(spark, d))
+
+
+pair("features_json", _features)
