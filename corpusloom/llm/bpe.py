@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import ship
 
 #: Words and transitions that a worker remembers; beyond that it starts anew.
-WORDS_HELD, STEPS_HELD = 600_000, 2_000_000
+WORDS_HELD, STEPS_HELD = 250_000, 500_000
 
 
 def byte_letters() -> list[str]:
@@ -44,37 +44,42 @@ class Automaton:
 
     It starts with one state that every symbol leads back to. The merge of u and v is a gadget on it: for the state q
     that u leads to, every arc u is led to a copy of q that has no arc v, and beside each arc u an arc uv leads where
-    v led from q. A token's arcs all lead to one state, so there is one copy for each merge at most. A copy is held as
-    its origin and the one arc it lacks; a state has an arc if neither the arc nor, at the time it was made, what it
-    was made from was taken from the state or one it was copied from.
+    v led from q. A token's arcs all lead to one state, named by the token, so there is one copy for each merge at
+    most. A copy is held as what its gadget took: the state of u lacks v since that merge, and what the state of its
+    right part lacked when u was born. A state has an arc if neither the arc nor, at the time it was made, what it was
+    made from was taken.
     """
 
+    START = 0xFFFFF
+
     def __init__(self, symbols: list[int], merges: list[tuple[int, int, int]]) -> None:
-        self.target = {s: 0 for s in symbols}
+        self.tokens = set(symbols)
         self.left: dict[int, int] = {}
+        self.right: dict[int, int] = {}
         self.born = dict.fromkeys(symbols, -1)
-        self.lacks: list[dict[int, int]] = [{}]  # of each state: arc -> the merge that took it
+        self.lacks: dict[int, dict[int, int]] = {}  # state -> arc -> the merge that took it
         for time, (u, v, w) in enumerate(merges):
-            self.left[w], self.born[w] = u, time
-            q = self.target.get(u)
-            if q is None or v not in self.target or not self.has(q, v):
+            if u not in self.tokens or v not in self.tokens or not self.has(u, v):
                 continue  # no tokenisation so far has u before v: the arc never comes to be
-            self.target[w] = self.target[v]
-            self.lacks.append(self.lacks[q] | {v: time})
-            self.target[u] = len(self.lacks) - 1
+            self.left[w], self.right[w], self.born[w] = u, v, time
+            self.tokens.add(w)
+            self.lacks.setdefault(u, {})[v] = time
 
     def has(self, state: int, token: int) -> bool:
         """Whether the state has an arc with the token."""
-        lacks = self.lacks[state]
-        if not lacks:
+        if state == self.START:
             return True
-        after = None  # the merge that made the longer token from this one
-        while token is not None:
-            taken = lacks.get(token)
-            if taken is not None and (after is None or taken <= after):
-                return False
-            after = self.born[token]
-            token = self.left.get(token)
+        until = None  # the merge that bore the longer token, whose state is a copy of this one as it was then
+        while state is not None:
+            lacks = self.lacks.get(state)
+            if lacks:
+                arc, after = token, None  # the merge that made the longer arc from this one
+                while arc is not None:
+                    taken = lacks.get(arc)
+                    if taken is not None and (until is None or taken < until) and (after is None or taken <= after):
+                        return False
+                    after, arc = self.born[arc], self.left.get(arc)
+            until, state = self.born[state], self.right.get(state)
         return True
 
 
@@ -112,7 +117,7 @@ class Tokenizer:
         # Goto table of the tokens' spellings in symbols: state -> symbol -> state, and the token that ends there.
         self.goto: list[dict[int, int]] = [{}]
         self.ends: list[int | None] = [None]
-        for token in self.automaton.target:
+        for token in sorted(self.automaton.tokens):
             at = 0
             for s in spelled[token]:
                 step = self.goto[at].get(s)
@@ -140,7 +145,7 @@ class Tokenizer:
         if after is None:
             if len(self.steps) >= STEPS_HELD:
                 self.steps.clear()
-            after = self.steps[key] = self.automaton.target[token] if self.automaton.has(state, token) else -1
+            after = self.steps[key] = token if self.automaton.has(state, token) else -1
         return after
 
     def word(self, word: str) -> bytes:
@@ -150,7 +155,7 @@ class Tokenizer:
         symbols[-1] = self.final[raw[-1]]
         n = len(symbols)
         state: list[int] = [-1] * (n + 1)
-        state[0] = 0
+        state[0] = Automaton.START
         back: list[tuple[int, int] | None] = [None] * (n + 1)
         goto, ends, steps = self.goto, self.ends, self.steps
         for j in range(n):
