@@ -17,7 +17,7 @@ from corpusloom.session import Table, ship
 U64 = np.uint64
 _P = "__corpusloom_"
 #: Cells of each of the two sketch rows: a quarter to an eighth of them used, within these powers of two.
-LEAST_BITS, MOST_BITS = 16, 29
+LEAST_BITS, MOST_BITS = 16, 28
 _SHARD_BITS = 6
 #: Windows that a partition gathers before it writes out a partial sketch.
 FLUSH = 1 << 22
@@ -127,7 +127,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     input. Repeats inside one document stay. Null, empty and short texts have no windows. A null id neither loses nor
     claims words. Rows of one id count as one document. Other columns are ignored; empty tables give an empty table.
 
-    The sketch is sized from the number of characters, up to 2**29 cells a row (128 MB in all): beyond that it lets
+    The sketch is sized from the number of characters, up to 2**28 cells a row (64 MB in all): beyond that it lets
     more windows through to the exact groups, and still loses none. A window is grouped by 96 bits of two hashes.
     """
     spark = ship(docs.sparkSession)

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step handles; bounds the temporary arrays.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
