@@ -130,7 +130,7 @@ def near_duplicates(
     return (
         signed.df.select("doc_id", "n_shingles", "set_key")
         .join(groups.df.select("set_key", "rep"), "set_key", "left")
-        .withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+        .withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
         .join(components.df.withColumnRenamed("node", "rep"), "rep", "left")
         .select(
             "doc_id",
