@@ -30,8 +30,9 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%\(.*\).*|your[_-].*
 #: A literal is reported from this product of its name's and its own score.
 LEAST_SCORE = 0.5
 
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$]{0,79}(?:[.-][A-Za-z0-9_$]{1,40}){0,6}"
-_STRING = r'"(?:\\.|[^"\\\n]){0,4096}"|\'(?:\\.|[^\'\\\n]){0,4096}\'|`[^`\n]{0,4096}`'
+# Of a longer dotted name the last parts are taken, so that a text is scanned in linear time.
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*+(?:[.-][A-Za-z0-9_$]++){0,6}"
+_STRING = r'"(?:\\.|[^"\\\n])*+"|\'(?:\\.|[^\'\\\n])*+\'|`[^`\n]*+`'
 #: name ["' ] operator expression: `a = "x"`, `a: x`, `"a": "x"`, `a["b"] := x`, `a => 'x' + "y"`.
 LEXEME = re.compile(
     rf"""(?<![A-Za-z0-9_$])({_NAME})["'`]?\]?[\x20\t]*(?::=|=>|[:=](?![=:]))[\x20\t]*((?:{_STRING})(?:[\x20\t]*[+.][\x20\t]*(?:{_STRING}|{_NAME}))*|[A-Za-z0-9_$+/.=~!@#%^&*-]+)"""
@@ -82,11 +83,11 @@ def literal_spans(text: str) -> list[Span]:
             parts = held[expression]
         else:
             parts = [(at, at + len(expression.rstrip(".,;")))]
+        parts = list(dict.fromkeys(parts))  # a literal joined with itself counts once
         value = "".join(text[a:b] for a, b in parts)
         if name_score(name) * literal_score(value) >= LEAST_SCORE:
             found.update((a, 3, b) for a, b in parts if b > a)
-        # Bounded: a literal of many parts keeps the first that a value could sensibly have.
-        held[name] = parts[:64]
+        held[name] = parts
     return sorted(found)
 
 
