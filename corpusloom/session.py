@@ -10,12 +10,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+#: Rows and bytes of one batch between the JVM and Python, where the session names none: both sides hold a few at once.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the driver was started from."""
+    """Let Python workers import this package, wherever the driver was started from, and keep their batches small."""
+    for key, value in _BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in have:
