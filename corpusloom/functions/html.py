@@ -89,7 +89,7 @@ def page_fields(pages: DataFrame, section: str | None = None) -> DataFrame:
 
 
 def embedded_rows(pages: DataFrame, path: tuple[str, ...], schema: str, script: str = "__NEXT_DATA__") -> DataFrame:
-    """Rows of the array at `path` of the JSON in the page's state script; pages without one give none."""
+    """Rows of the array at `path` of the JSON in the page's state script; pages without such an array give none."""
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +103,7 @@ def embedded_rows(pages: DataFrame, path: tuple[str, ...], schema: str, script:
                     at = None
                 for key in path:
                     at = at.get(key) if isinstance(at, dict) else None
-                out += [(page_id, json.dumps(r)) for r in at or []]
+                out += [(page_id, json.dumps(r)) for r in (at if isinstance(at, list) else [])]
             yield pd.DataFrame(out, columns=["page_id", "row"])
 
     rows = pages.select("page_id", "html").mapInPandas(run, "page_id long, row string")
