@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 from corpusloom.llm.vectors import dimension, takes_part, unit
 from corpusloom.session import Table, ship
 
+#: Queries that meet a shard in one task.
+QUERY_ROWS = 4_096
+
 
 class Graph:
     """HNSW over unit rows. Each level holds one flat (nodes, degree) array of neighbours, -1 where there is none.
@@ -136,10 +139,17 @@ class Graph:
             done[live] = np.take_along_axis(all_done, best, 1) | (ids[live] < 0)
         return ids, value
 
+    @classmethod
+    def of_arrays(cls, x: np.ndarray, near: list[np.ndarray], entry: int) -> Graph:
+        """A graph to search, of the arrays that were stored of one."""
+        graph = cls.__new__(cls)
+        graph.x, graph.near, graph.entry = np.ascontiguousarray(x, np.float32), near, entry
+        return graph
+
     def search(self, q: np.ndarray, width: int) -> np.ndarray:
         """Ids of up to `width` near rows for each row of q, best first."""
         at = np.full((len(q), 1), self.entry, np.int64)
-        for level in range(int(self.top[self.entry]), 0, -1):
+        for level in range(len(self.near) - 1, 0, -1):  # the entry is of the highest level
             at = self._search(np.asarray(q, np.float32), at, level, 4)[0]
         return self._search(np.asarray(q, np.float32), at, 0, width)[0]
 
@@ -161,9 +171,10 @@ def nearest(
     ones count as padded with zeros. A repeated query row gives its result once; repeated candidate rows are one.
     Other columns are ignored; empty tables give an empty table.
 
-    Every row is indexed: shards of about shard_rows rows by a hash of the id. Equal vectors of a shard are one node
-    that stands for its k + 1 smallest ids, so many copies neither crowd the graph nor a task. Queries meet each shard
-    in blocks; a shard returns k rows a query, and those are merged.
+    Every row is indexed: shards of about shard_rows rows by a hash of the id, each stored as one row of flat arrays.
+    Equal vectors of a shard are one node that stands for its k + 1 smallest ids, so many copies neither crowd the graph
+    nor a task. Queries are dealt over blocks of about QUERY_ROWS, and a task holds one shard and one block however many
+    queries there are; a shard returns k rows a query, and those are merged.
     """
     spark = ship(vectors.sparkSession)
 
@@ -179,7 +190,6 @@ def nearest(
     dim = max(dim, dimension(asked, "v"))
     shards = max(1, math.ceil(n / shard_rows))
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def grid(column: pd.Series) -> np.ndarray:
         out = np.zeros((len(column), dim))
@@ -187,15 +197,37 @@ def nearest(
             out[r, : len(v)] = v
         return out
 
-    def search(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(ask):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    def build(own: pd.DataFrame) -> pd.DataFrame:
         own = own.drop_duplicates("vec_id").sort_values("vec_id", kind="stable")
         ids, x = own.vec_id.to_numpy(), unit(grid(own.v))
         _, first, of = np.unique(x.astype(np.float32), axis=0, return_index=True, return_inverse=True)
         by = np.lexsort((ids, of.ravel()))
         start = np.searchsorted(of.ravel()[by], np.arange(len(first) + 1))
-        graph = Graph(x[first], width=64, block=block)
+        ids, x = ids[by], x[by]
+        graph = Graph(x[start[:-1]], width=64, block=block)
+        return pd.DataFrame(
+            {
+                "shard": [own.shard.iloc[0]],
+                "ids": [ids.tobytes()],
+                "x": [x.tobytes()],
+                "start": [start.astype(np.int64).tobytes()],
+                "near": [[level.tobytes() for level in graph.near]],
+                "entry": [graph.entry],
+            }
+        )
+
+    index = Table(
+        sharded.groupBy("shard").applyInPandas(build, "shard long, ids binary, x binary, start binary, near array<binary>, entry long")
+    )
+
+    def search(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(ask):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        stored = own.iloc[0]
+        ids, start = np.frombuffer(stored.ids, np.int64), np.frombuffer(stored.start, np.int64)
+        x = np.frombuffer(stored.x).reshape(-1, dim)
+        near_by_level = [np.frombuffer(level, np.int32).reshape(len(start) - 1, -1) for level in stored.near]
+        graph = Graph.of_arrays(x[start[:-1]], near_by_level, int(stored.entry))
         parts = []
         for at in range(0, len(ask), 256):
             some = ask.iloc[at : at + 256]
@@ -203,14 +235,20 @@ def nearest(
             found = graph.search(q, width)
             for row, (query, nodes) in enumerate(zip(some.vec_id.to_numpy(), found)):
                 nodes = nodes[nodes >= 0]
-                near = np.concatenate([by[start[m] : min(start[m + 1], start[m] + k + 1)] for m in nodes[: 4 * k]])
+                near = np.concatenate([np.arange(start[m], min(start[m + 1], start[m] + k + 1)) for m in nodes[: 4 * k]])
                 near = near[ids[near] != query]
                 score = np.einsum("ij,j->i", x[near], q[row])
                 best = np.lexsort((ids[near], -score))[:k]
                 parts.append((np.full(len(best), query), ids[near][best], score[best]))
         return pd.DataFrame({name: np.concatenate([p[c] for p in parts]) for c, name in enumerate(("query_id", "vec_id", "score"))})
 
-    found = sharded.groupBy("shard").cogroup(everywhere.groupBy("shard")).applyInPandas(search, schema)
+    def every(of: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
+
+    blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).withColumn("shard", every(shards))
+    copies = index.df.withColumn("part", every(blocks))
+    found = copies.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInPandas(search, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -185,7 +185,7 @@ def test_embedding_dedup(spark):
     assert rabitq.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
     df, x = vectors(spark)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     got = hnsw.nearest(df, df.filter("vec_id % 10 = 0"), shard_rows=40).collect()
@@ -199,6 +199,9 @@ def test_nearest(spark):
         hits += len(want & {r.vec_id for r in own})
     assert hits >= 0.9 * 60 and not {r.query_id for r in got} & {200, 201}
     assert hnsw.nearest(df.limit(0), df).count() == 0
+    monkeypatch.setattr(hnsw, "QUERY_ROWS", 4)  # several blocks of queries to a shard
+    again = hnsw.nearest(df, df.filter("vec_id % 10 = 0"), shard_rows=40).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
 def test_warc(spark):
