@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,20 +124,25 @@ def archives(
     decided = keyed.join(first.df, "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, begun = [], 0, None
+        # A task's number and a count within it: no two archives of one write share a name, whatever ids they hold.
+        task, n = TaskContext.get().partitionId(), 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{n:06d}"]), pa.array([write_archive(held)], pa.binary())], ["archive_id", "content"])
+
+        held, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     raw = html.encode()
                     one = record(page_id, url, raw, payload_digest(raw), refers_to)
-                    begun = str(uuid.uuid5(uuid.NAMESPACE_URL, f"archive {page_id}")) if begun is None else begun
                     held.append(one)
                     size += len(one)
                     if size >= ARCHIVE_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array([begun]), pa.array([write_archive(held)], pa.binary())], ["archive_id", "content"])
-                        held, size, begun = [], 0, None
+                        yield archive()
+                        held, size, n = [], 0, n + 1
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([begun]), pa.array([write_archive(held)], pa.binary())], ["archive_id", "content"])
+            yield archive()
 
     return decided.mapInArrow(write, "archive_id string, content binary")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm import bpe, hnsw, linedup, minhash, mixing, queries, rabitq, secrets, substring, toxicity, warc
+from corpusloom.session import Table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, rep string"
@@ -222,6 +223,16 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_have_names_of_their_own(spark, tmp_path):
+    rows = [(None, None, f"p{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    files = Table(warc.archives(df)).df
+    names = [r.archive_id for r in files.select("archive_id").collect()]
+    assert len(set(names)) == len(names) == warc.save_files(files, f"file://{tmp_path}")
+    read = [head for f in tmp_path.glob("*.warc.zst") for head, _ in warc.read_archive(f.read_bytes())]
+    assert len(read) == len(rows)
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     words = ["w%d" % i for i in range(200)]
