@@ -432,6 +432,26 @@ def _page_text(spark, d):
 pair("page_text", _page_text)
 
 
+def _next_data(spark, d):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions.html import embedded_rows
+
+    # The tables' pages hold no state of their own: two of three get one, with two rows.
+    row = F.struct(F.col("url").alias("name"), (F.col("page_id") % 100).alias("rank"))
+    state = F.to_json(F.struct(F.struct(F.array(row, F.struct(F.lit("none").alias("name"), F.lit(None).cast("long").alias("rank"))).alias("data")).alias("props")))
+    script = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<script id=__NEXT_DATA__>"), state, F.lit("</script>")))
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat_ws("", script, "html").alias("html"))
+    return embedded_rows(pages, ("props", "data"), "name string, rank long")
+
+
+pair(
+    "next_data",
+    _next_data,
+    "SELECT page_id, url AS name, page_id % 100 AS rank FROM @pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, 'none' AS name, CAST(NULL AS BIGINT) AS rank FROM @pages WHERE page_id % 3 <> 0",
+)
+
+
 def _features(spark, d):
     from corpusloom.sources.features import features_json
 
