@@ -169,14 +169,17 @@ class Model:
             inside = table[codes]
             edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
             starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            begin, end = bounds - lengths, bounds - 1  # of each text
+            first, past = np.searchsorted(starts, begin), np.searchsorted(starts, end)  # its words
             state = self.matcher.match(codes, starts, ends)
             found = np.flatnonzero(self.matcher.term[state] >= 0)
             for w in found.tolist():
                 edits = self.matcher.edits[state[w]]
                 if edits and joined[starts[w] : ends[w]] in self.cleared:
                     continue
-                text = at + int(np.searchsorted(bounds, starts[w], "right"))
-                value = self.weight[self.matcher.term[state[w]]] * self._context(joined, codes, starts, ends, w)
+                k = int(np.searchsorted(bounds, starts[w], "right"))
+                text, own = at + k, (int(first[k]), int(past[k]), int(begin[k]), int(end[k]))
+                value = self.weight[self.matcher.term[state[w]]] * self._context(joined, codes, starts, ends, w, own)
                 kind = 2 if edits else 1
                 out[text, kind] = max(out[text, kind], value)
                 out[text, 3] += 0.0 if edits else value
@@ -199,12 +202,17 @@ class Model:
         self.cleared = frozenset(found)
 
     @staticmethod
-    def _context(text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: int) -> float:
-        """Under 1 for a hit in quotation marks or reported speech, over 1 for one aimed at somebody."""
-        a, b = max(0, w - WINDOW), min(len(starts), w + WINDOW + 1)
+    def _context(text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: int, own: tuple[int, int, int, int]) -> float:
+        """Under 1 for a hit in quotation marks or reported speech, over 1 for one aimed at somebody.
+
+        own: the first word of the hit's text and the one past its last, where the text begins and ends. Nothing
+        outside them counts; signs before its first and behind its last word do.
+        """
+        first, past, begin, end = own
+        a, b = max(first, w - WINDOW), min(past, w + WINDOW + 1)
         lo, hi = starts[a], ends[b - 1]
-        before = QUOTES.intersection(codes[max(lo, starts[w] - 2) : starts[w]].tolist())
-        behind = QUOTES.intersection(codes[ends[w] : min(hi, ends[w] + 2)].tolist())
+        before = QUOTES.intersection(codes[max(begin, starts[w] - 2) : starts[w]].tolist())
+        behind = QUOTES.intersection(codes[ends[w] : min(end, ends[w] + 2)].tolist())
         near = set(text[lo:hi].split())
         factor = 1.0
         if before and behind:
@@ -237,7 +245,8 @@ class Model:
         self.coefficients = np.array([c[0], *np.maximum(c[1:], 0.0)])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.coefficients, -30, 30)))
+        # Row by row: a matrix product may round by the number of rows.
+        return 1 / (1 + np.exp(-np.clip((self.features(texts) * self.coefficients).sum(axis=1), -30, 30)))
 
 
 def learn_terms(texts: list[str], labels: np.ndarray) -> list[tuple[str, bool, float]]:

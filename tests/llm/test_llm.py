@@ -254,6 +254,17 @@ def test_toxicity(spark):
     assert plain > edited > model.score([""])[0] and quoted < plain
 
 
+def test_toxicity_context_ends_with_the_text():
+    model = toxicity.Model([("idiot", False, 0.9)])
+    texts = ["idiot", '"idiot"', "an idiot", "you idiot here", "", None, 'so said the "idiot"', "idiot you", '" idiot']
+    alone = [model.score([t])[0] for t in texts]
+    assert alone[1] < alone[0] == alone[2] < alone[3] and alone[8] == alone[0]
+    for between in (["somebody said", "wrote it"], ["you", "you"], ['x "', '" x'], ["plain", "words"]):
+        for t, want in zip(texts, alone):
+            assert model.score([between[0], t, between[1]])[1] == want
+    assert model.score(texts).tolist() == alone and model.score(texts[::-1]).tolist() == alone[::-1]
+
+
 def test_pipeline_matches_its_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
