@@ -271,12 +271,12 @@ def learn_terms(texts: list[str], labels: np.ndarray) -> list[tuple[str, bool, f
     if not 0 < base < 1:
         return []
     need = math.log(len(n_with) + 1) + 3
-    good = {}
+    good, rates = {}, {}
     for t, docs in toxic_with.items():
         # Copies of one text share the words around a term and count once.
         k = min(len(docs), len(around[t]))
         n = n_with[t] - len(docs) + k
-        rate = (k + 0.5) / (n + 1)
+        rate = rates[t] = (k + 0.5) / (n + 1)
         if rate > 0.8 and k * math.log(rate / base) + (n - k) * math.log((1 - rate) / (1 - base)) > need:
             good[t] = (set(docs), rate)
     out, covered = [], set()
@@ -291,6 +291,10 @@ def learn_terms(texts: list[str], labels: np.ndarray) -> list[tuple[str, bool, f
         more = sorted((t for t in good if not t[1] and t[0] not in have), key=lambda t: (-len(good[t][0]), t[0]))
         stems = tuple(t for t, s, _ in out if s)
         out += [(*t, good[t][1]) for t in more if not (stems and t[0].startswith(stems))][: LEXICON_TERMS - len(out)]
+        # A stem matches exactly. The words that it stands for match at one edit too, rarer ones on its evidence.
+        under = [t for t, rate in rates.items() if not t[1] and len(t[0]) >= FUZZY_LENGTH and rate > 0.8 and t[0] not in have and stems and t[0].startswith(stems)]
+        under.sort(key=lambda t: (-len(toxic_with[t]), t[0]))
+        out += [(*t, rates[t]) for t in under][: LEXICON_TERMS - len(out)]
     return out
 
 

@@ -265,6 +265,27 @@ def test_toxicity_context_ends_with_the_text():
     assert model.score(texts).tolist() == alone and model.score(texts[::-1]).tolist() == alone[::-1]
 
 
+def test_toxicity_misspelt_inside_a_learned_stem():
+    rng = random.Random(8)
+    clean = ["w%d" % i for i in range(200)]
+    forms = ["blorgonar", "blorgotep", "blorgisum", "blorgavik", "blorgelda"]
+    texts, labels = [], []
+    for i in range(400):
+        t = rng.choices(clean, k=20)
+        if i % 4 == 0:
+            t[rng.randrange(20)] = "blorguru" if i < 12 else forms[i // 4 % 5]
+        texts.append(" ".join(t))
+        labels.append(int(i % 4 == 0))
+    terms = toxicity.learn_terms(texts, np.array(labels))
+    assert [t for t, stem, _ in terms if stem] == ["blorg"]
+    model = toxicity.Model(terms)
+    exact = model.features(["x blorgonar y", "x blorgunseen y", "x bl0rgotep y"])
+    assert (exact[:, 1] == terms[0][2]).all() and not exact[:, 2].any()
+    # A letter dropped, wrong or too many in the stem; blorguru is too rare to be a term of its own.
+    got = model.features(["x blrgonar y", "x blxrgotep y", "x bloorgisum y", "x borguru y", "x w1 y"])
+    assert (got[:4, 2] > 0.5).all() and not got[4, 1:].any() and not got[:, 1].any()
+
+
 def test_pipeline_matches_its_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
