@@ -417,7 +417,7 @@ def _fuzzy(spark, d):
     from corpusloom.operators.match import best_matches
 
     part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("name"), "p_partkey")
-    return best_matches(part.filter("p_partkey % 4 = 0").select("name").distinct(), part.filter("p_partkey % 4 <> 0").select("name").distinct())
+    return best_matches(part.filter("p_partkey % 4 = 0").select("name").distinct(), part.filter("p_partkey % 4 <> 0").select("name").distinct(), prefix=0)
 
 
 pair("fuzzy_best", _fuzzy)

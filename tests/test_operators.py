@@ -97,3 +97,25 @@ def test_fuzzy(spark):
     a = spark.createDataFrame([("oxford uni",), ("zzz",)], "name string")
     b = spark.createDataFrame([("oxford univ",), ("other",)], "name string")
     assert [(r.a, r.b) for r in match.best_matches(a, b).collect()] == [("oxford uni", "oxford univ")]
+
+
+def test_fuzzy_best_meets_every_pair(spark, tmp_path):
+    import difflib
+    import random
+
+    from corpusloom.plans import registry
+
+    rng = random.Random(3)
+    base = ["university of oxford", "leeds college", "tokyo institute", "ecole normale", "kyoto", "rio state"]
+    names = sorted({("x" if rng.random() < 0.4 else "") + "".join(c for c in rng.choice(base) if rng.random() > 0.1) for _ in range(60)})
+    left, right = [n for i, n in enumerate(names) if i % 4 == 0], [n for i, n in enumerate(names) if i % 4]
+    want = []
+    for a in left:
+        if found := difflib.get_close_matches(a, right, n=1, cutoff=0.6):
+            want.append((a, found[0], difflib.SequenceMatcher(None, a, found[0]).ratio()))
+    assert any(a[0] != b[0] for a, b, _ in want)
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(map(tuple, registry.QUERIES["fuzzy_best"](spark, str(tmp_path)).collect())) == sorted(want)
+    frames = [spark.createDataFrame([(n,) for n in x], "name string") for x in (left + left[:2] + [None], right + right[:5] + [None])]
+    got = match.best_matches(*frames, prefix=0, chunk_rows=4).collect()
+    assert sorted(map(tuple, got)) == sorted(want + [w for w in want if w[0] in left[:2]])
