@@ -129,6 +129,19 @@ def _split_words(spark, d):
 pair("split_words", _split_words, "SELECT word, concat(substring(word, 1, i), ' ', substring(word, i + 1, 99)) AS fixed FROM ok", _SPLIT, "wrd")
 
 
+def _split_words_whole(spark, d):
+    """split_words without the limits that its SQL has: words of any length, every cut."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import text
+
+    words = _docs(spark, d).select(F.explode(text.word_tokens(F.col("text"))).alias("word"))
+    return text.split_words(words, words.groupBy("word").count().filter("count >= 50")).filter("changed").select("word", "fixed")
+
+
+pair("split_words_whole", _split_words_whole)
+
+
 def _rewrite(spark, d):
     from pyspark.sql import functions as F
 

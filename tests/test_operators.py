@@ -119,3 +119,20 @@ def test_fuzzy_best_meets_every_pair(spark, tmp_path):
     frames = [spark.createDataFrame([(n,) for n in x], "name string") for x in (left + left[:2] + [None], right + right[:5] + [None])]
     got = match.best_matches(*frames, prefix=0, chunk_rows=4).collect()
     assert sorted(map(tuple, got)) == sorted(want + [w for w in want if w[0] in left[:2]])
+
+
+def test_split_words_whole_takes_long_words(spark, tmp_path):
+    import re
+
+    from corpusloom.plans import registry
+
+    words = ["of", "amazing", "university", "research", "internationalisation"]
+    merged = ["universityresearch", "internationalisationresearch", "ofamazing", "researchof", "universityxresearch", "ofofo", "of_research"]
+    rows = [(i, " ".join(words)) for i in range(50)] + [(50, " ".join(merged)), (51, None), (52, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for w in set(re.findall(r"\w+", " ".join(t or "" for _, t in rows).lower())) - set(words):
+        cut = next((i for i in range(2, len(w) - 2) if w[:i] in words and w[i:] in words), None)
+        want += [(w, f"{w[:cut]} {w[cut:]}")] if cut else []
+    assert max(len(w) for w, _ in want) > 20 and len(want) == 3
+    assert sorted(map(tuple, registry.QUERIES["split_words_whole"](spark, str(tmp_path)).collect())) == sorted(want)
