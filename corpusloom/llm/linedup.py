@@ -13,44 +13,39 @@ from pyspark.sql import types as T
 from corpusloom.llm import textscan as ts
 from corpusloom.session import Table, ship
 
-U64 = np.uint64
 _P = "__corpusloom_"
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """docs with the text cut, and three columns more, prefixed: n_lines, n_removed and kept (false for null texts).
 
-    A text is split at \\n. A window is `width` consecutive lines of one document, compared byte for byte. The first
-    occurrence of a window, by id and then by position, stays; of each later one, in another document or the same,
-    every line goes. Kept lines are joined by \\n; a text that loses all lines is empty. Texts of fewer lines, null
-    texts and rows of null id stay as they are. Rows of one id and text are cut alike. Empty tables stay empty.
+    A text is split at \\n. A window is `width` consecutive lines of one document; windows are equal if 128-bit
+    cryptographic digests of their lines are. The first occurrence of a window, by id and then by position, stays; of
+    each later one, in another document or the same, every line goes. Kept lines are joined by \\n; a text that loses
+    all lines is empty. Texts of fewer lines, null texts and rows of null id stay as they are. Rows of one id and text
+    are cut alike; of one id and different texts, the smallest position among them all has a window first. Columns of
+    any name pass through. Empty tables stay empty.
     """
     ship(docs.sparkSession)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for begin, _, data, offsets in ts.text_arrays(batch.column(1)):
-                pieces = ts.lines(data, offsets)
-                hashes = pieces.hashes()
-                at, h = ts.window_hashes(hashes, pieces, width)
+            for begin, _, texts in ts.text_steps(batch.column(1)):
+                pieces = ts.lines(texts)
+                at = pieces.windows(width)
                 if len(at):
-                    _, g = ts.window_hashes(hashes, pieces, width, seed=3)
+                    name = pieces.digests(width, at)
                     owner = pieces.owner[at]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h.view(np.int64)),
-                            pa.array((g >> U64(32)).astype(np.uint32).view(np.int32)),
-                            pa.array(ids[begin + owner], pa.int64()),
-                            pa.array((at - pieces.first[owner]).astype(np.int64)),
-                        ],
+                        [pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(ids[begin + owner], pa.int64()), pa.array(at - pieces.first[owner])],
                         ["h", "g", "doc_id", "pos"],
                     )
 
     met = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         .filter("doc_id is not null and text is not null")
-        .mapInArrow(windows, "h long, g int, doc_id long, pos long")
+        .mapInArrow(windows, "h long, g long, doc_id long, pos long")
     )
     place = F.struct("doc_id", "pos")
     firsts = Table(
@@ -71,36 +66,37 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place_of_text)
+            column = batch.column(place_of_text)
             marks = batch.column(batch.num_columns - 1)
-            for begin, end, data, offsets in ts.text_arrays(texts):
-                pieces = ts.lines(data, offsets)
+            for begin, end, texts in ts.text_steps(column):
                 own = marks.slice(begin, end - begin)
                 sizes = np.asarray(own.value_lengths().fill_null(0))
-                gone = np.zeros(len(pieces.starts), bool)
-                if sizes.any():
-                    flat = own.flatten()
-                    at = flat.field("pos").to_numpy(zero_copy_only=False) + np.repeat(pieces.first[:-1], sizes)
-                    want = flat.field("h").to_numpy(zero_copy_only=False).view(U64)
-                    first, h = ts.window_hashes(pieces.hashes(), pieces, width)
-                    found = np.searchsorted(first, at)
-                    ok = found < len(first)
-                    ok[ok] = (first[found[ok]] == at[ok]) & (h[found[ok]] == want[ok])
-                    gone = ts.covered(len(gone), at[ok], width)
+                # A null text has no lines; texts without marks are counted and pass as they are.
+                counts = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
                 removed = np.zeros(end - begin, np.int64)
-                np.add.at(removed, pieces.owner[gone], 1)
-                new = texts.slice(begin, end - begin)
-                if removed.any():
-                    raw, out = data.tobytes(), new.to_pylist()
-                    for t in np.flatnonzero(removed).tolist():
-                        mine = slice(pieces.first[t], pieces.first[t + 1])
-                        stay = ~gone[mine]
-                        out[t] = b"\n".join([raw[a:b] for a, b in zip(pieces.starts[mine][stay].tolist(), pieces.ends[mine][stay].tolist())]).decode()
-                    new = pa.array(out, texts.type)
+                new = column.slice(begin, end - begin)
+                met = np.flatnonzero(sizes)
+                if len(met):
+                    flat = own.flatten()
+                    pos, want = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "h"))
+                    bounds = np.concatenate(([0], np.cumsum(sizes)))
+                    pieces = ts.lines([texts[t] for t in met.tolist()])
+                    out = new.to_pylist()
+                    for k, t in enumerate(met.tolist()):
+                        mine = slice(bounds[t], bounds[t + 1])
+                        # Another text of the same id may have marks that are none of this one.
+                        fits = pos[mine] + width <= counts[t]
+                        at = pos[mine][fits]
+                        at = at[pieces.digests(width, pieces.first[k] + at)[:, 0] == want[mine][fits]]
+                        gone = ts.covered(counts[t], at, width)
+                        removed[t] = gone.sum()
+                        if removed[t]:
+                            out[t] = ts.kept_lines(texts[t], gone).decode()
+                    new = pa.array(out, column.type)
+                null = np.asarray(column.slice(begin, end - begin).is_null())
                 columns = [c.slice(begin, end - begin) for c in batch.columns[:-1]]
                 columns[place_of_text] = new
-                null = np.asarray(new.is_null())
-                columns += [pa.array(np.where(null, 0, pieces.counts)), pa.array(removed), pa.array(~null)]
+                columns += [pa.array(np.where(null, 0, counts)), pa.array(removed), pa.array(~null)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return joined.mapInArrow(cut, schema)

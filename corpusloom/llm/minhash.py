@@ -15,33 +15,38 @@ from corpusloom.llm.components import connected_components, local_stars
 from corpusloom.session import Table, ship
 
 U64 = np.uint64
-SIGNED = "doc_id long, n_shingles long, set_key binary, signature array<int>"
+_P = "__corpusloom_"
+SIGNED = "doc_id long, n_shingles long, node long, text_key binary, signature array<int>"
 #: A chunk of a cluster holds about so many sets, and so many shingles, at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
-_SHORT = U64(0x2545F4914F6CDD1D)
+#: Members of a band key that meet one copy of the key's smallest member.
+STAR_ROWS = 256
 
 
-def shingle_sets(data, offsets, width: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hashes sorted and distinct within each text, their bounds by text)."""
-    pieces = ts.words(data, offsets, lower)
-    hashes = pieces.hashes()
-    at, value = ts.window_hashes(hashes, pieces, width)
-    owner = pieces.owner[at]
+def shingle_sets(texts: list[bytes], width: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit shingle names, sorted and distinct within each text, their bounds by text)."""
+    pieces = ts.words(texts, lower)
+    at = pieces.windows(width)
+    value, owner = pieces.hashes(width, at), pieces.owner[at]
     short = np.flatnonzero((pieces.counts > 0) & (pieces.counts < width))
     if len(short):
-        extra = []
-        for t in short:
-            own = hashes[pieces.first[t] : pieces.first[t + 1]]
-            extra.append((own * ts.odd_constants(len(own), 2)).sum(dtype=U64))
+        names = [hashlib.blake2b(pieces.names[16 * pieces.first[t] : 16 * pieces.first[t + 1]], digest_size=8, person=b"short").digest() for t in short]
         owner = np.concatenate((owner, short))
-        value = np.concatenate((value, ts.mix(np.array(extra, U64) * _SHORT + pieces.counts[short].astype(U64))))
+        value = np.concatenate((value, np.frombuffer(b"".join(names), "<u8").astype(U64)))
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
     if len(value):
         new = np.ones(len(value), bool)
         new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
         owner, value = owner[new], value[new]
-    return value, np.searchsorted(owner, np.arange(len(offsets)))
+    return value, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def set_nodes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each whole set: that of the sets' nodes in the graph of links."""
+    raw = value.tobytes()
+    cuts = (8 * bounds).tolist()
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(cuts, cuts[1:])]), "<i8")
 
 
 def minima(value: np.ndarray, bounds: np.ndarray, hashes: int, seed: int) -> np.ndarray:
@@ -58,22 +63,26 @@ def minima(value: np.ndarray, bounds: np.ndarray, hashes: int, seed: int) -> np.
 
 
 def signatures(docs: DataFrame, width: int, hashes: int, seed: int, lower: bool = True) -> DataFrame:
-    """One row a document: set size, a 128-bit key of the whole set, and the signature (null for an empty set)."""
+    """One row a document: set size, the set's node, a digest of the text, and the signature."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, data, offsets in ts.text_arrays(batch.column(1)):
-                value, bounds = shingle_sets(data, offsets, width, lower)
+            for begin, end, texts in ts.text_steps(batch.column(1)):
+                value, bounds = shingle_sets(texts, width, lower)
                 sig = minima(value, bounds, hashes, seed)
-                raw = value.tobytes()
-                keys = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(bounds, bounds[1:])]
-                sizes = np.diff(bounds)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, sig.size + 1, hashes), pa.int32()), pa.array(sig.ravel(), pa.int32())
                 )
+                keys = [hashlib.sha256(t).digest() for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists],
-                    ["doc_id", "n_shingles", "set_key", "signature"],
+                    [
+                        batch.column(0).slice(begin, end - begin),
+                        pa.array(np.diff(bounds), pa.int64()),
+                        pa.array(set_nodes(value, bounds)),
+                        pa.array(keys, pa.binary()),
+                        lists,
+                    ],
+                    ["doc_id", "n_shingles", "node", "text_key", "signature"],
                 )
 
     return docs.mapInArrow(scan, SIGNED)
@@ -82,12 +91,12 @@ def signatures(docs: DataFrame, width: int, hashes: int, seed: int, lower: bool
 def _sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, data, offsets in ts.text_arrays(batch.column(1)):
-                value, bounds = shingle_sets(data, offsets, width, lower)
+            for _, _, texts in ts.text_steps(batch.column(1)):
+                value, bounds = shingle_sets(texts, width, lower)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value.view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), lists], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_nodes(value, bounds)), lists], ["node", "shingles"])
 
-    return docs.mapInArrow(scan, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(scan, "node long, shingles array<long>")
 
 
 def near_duplicates(
@@ -101,83 +110,129 @@ def near_duplicates(
     seed: int = 7,
     lower: bool = True,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+    """(doc_id, n_shingles, component_id, kept, text_key) for each row of docs.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of distinct `width`-word
     shingles; words are runs of bytes other than \\x20 and \\x09-\\x0D, with A-Z folded. A text of fewer words has the
     whole sequence as its one shingle; null, empty and blank texts have none and are linked with nothing. A component
     is named by its smallest id; kept marks that one. Rows of one id and text repeat their result; rows of one id with
     different texts are judged each by its own text. A null id is linked with nothing: component null, kept true.
-    Other columns are ignored, empty tables give an empty table.
+    text_key is the SHA-256 of the text, that of no bytes for null. Other columns are ignored, empty tables give an
+    empty table.
 
-    A pair at the threshold shares none of 32 bands of 4 minima with a chance of 5e-8. Equal sets are collapsed first.
-    Below a band key, the smallest member is compared with all others; members of keys that then hold more than one
-    component meet in blocks that count exactly. No cap, no lost links, and no emission of all pairs of a group.
+    Nodes of the graph are sets, each named by a digest, so equal sets are one node whatever their ids are. A pair at
+    the threshold shares none of 32 bands of 4 minima with a chance of 5e-8. Below a band key, the smallest member is
+    compared with all others; members of keys that then hold more than one component meet in blocks that count exactly.
+    No cap, no lost links, and no emission of all pairs of a group.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # A key that no batch of the scan can fill by itself: rows are small (about 600 bytes), texts stay where they are.
     signed = Table(signatures(docs, width, bands * rows, seed, lower))
     full = signed.df.filter("doc_id is not null and n_shingles > 0")
-    groups = Table(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
-    reps = (
-        full.join(groups.df.select("set_key", "rep"), "set_key", "left")
-        .filter("rep is null or rep = doc_id")
-        .select(F.col("doc_id").alias("rep"), "n_shingles", "signature")
-    )
-    links = _links(docs, reps, width, percent, bands, rows, lower)
-    components = Table(connected_components(links))
+    links = Table(_links(docs, full, width, percent, bands, rows, lower))
+    components = Table(connected_components(links.df))
+    links.drop()
+    # What a node's component is called: the smallest id of all its documents. Nodes of one row and no link need no row.
+    least = full.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    met = least.join(components.df, "node", "left").filter("component is not null or n > 1")
+    nodes = Table(met.select("node", F.coalesce("component", "node").alias("component"), "low"))
+    components.drop()
+    named = nodes.df.join(nodes.df.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id")
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node"))
     return (
-        signed.df.select("doc_id", "n_shingles", "set_key")
-        .join(groups.df.select("set_key", "rep"), "set_key", "left")
-        .withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-        .join(components.df.withColumnRenamed("node", "rep"), "rep", "left")
+        signed.df.select("doc_id", "n_shingles", "text_key", own.alias("node"))
+        .join(Table(named).df, "node", "left")
         .select(
             "doc_id",
             "n_shingles",
-            F.coalesce("component", "rep").alias("component_id"),
-            F.col("doc_id").eqNullSafe(F.coalesce("component", "rep")).alias("kept"),
+            F.coalesce("component_id", "doc_id").alias("component_id"),
+            F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"),
+            "text_key",
         )
     )
 
 
-def _links(docs, reps, width, percent, bands, rows, lower) -> DataFrame:
-    """(a, b) confirmed links that connect the representatives as all links would."""
-    keyed = reps.select(
-        "rep",
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each group of linked documents: that of the smallest id and, among rows of that id with
+    different texts, of the smallest digest; a repeated row of it stays once.
+
+    Rows of null id and texts without words are in no group and all stay. Columns of any name pass through.
+    """
+    found = Table(near_duplicates(docs, id_col, text_col, **how))
+    grouped = found.df.filter("doc_id is not null and n_shingles > 0")
+    # Within a component that has rows of its smallest id, those of the first text stay.
+    first = grouped.filter("kept").groupBy("component_id").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last"), F.count("*").alias("n"))
+    several = Table(first.filter("n > 1"))
+    gone = grouped.filter("not kept").select("doc_id", "text_key")
+    later = grouped.filter("kept").join(several.df.filter("first < last").select("component_id", "first"), "component_id").filter("text_key <> first")
+    gone = Table(gone.union(later.select("doc_id", "text_key")).distinct()).df
+    repeated = Table(grouped.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")).df
+    key, at = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)), F.col(id_col).cast("long")
+    marked = docs.withColumns({f"{_P}key": key, f"{_P}id": at})
+
+    def rows_of(table: DataFrame, how: str) -> DataFrame:
+        named = table.select(F.col("doc_id").alias(f"{_P}id"), F.col("text_key").alias(f"{_P}key"))
+        return marked.join(named, [f"{_P}id", f"{_P}key"], how)
+
+    marked = rows_of(gone, "left_anti")
+    once = rows_of(repeated, "left_anti").unionByName(rows_of(repeated, "left_semi").dropDuplicates([f"{_P}id", f"{_P}key"]))
+    return once.select(*docs.columns)
+
+
+def _links(docs, full, width, percent, bands, rows, lower) -> DataFrame:
+    """(a, b) confirmed links that connect the nodes as all links would."""
+    # One row a node. The id tells where to find its text again.
+    reps = full.groupBy("node").agg(F.min_by(F.struct("doc_id", "signature"), "doc_id").alias("r")).select("node", "r.doc_id", "r.signature")
+    reps = Table(reps)
+    keyed = reps.df.select(
+        "node",
         F.explode(
             F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.xxhash64(j, F.slice("signature", j * rows + 1, rows)))
         ).alias("key"),
     )
-    shared = Table(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last"))
+    shared = Table(
+        keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+        .select("key", "pivot", F.ceil(F.col("n") / STAR_ROWS).cast("int").alias("parts"))
+    )
     # Text-heavy work below touches only documents that share a band key with another.
-    members = Table(keyed.join(shared.df.select("key", "pivot"), "key"))
-    ids = members.df.select(F.col("rep").alias("doc_id")).distinct()
-    sets = Table(_sets(docs.join(ids, "doc_id", "left_semi"), width, lower).distinct())
-    seen = Table(reps.join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").select("rep", "signature"))
+    members = Table(keyed.join(shared.df, "key"))
+    shared.drop()
+    nodes = members.df.select("node").distinct()
+    seen = Table(reps.df.join(nodes, "node", "left_semi"))
+    reps.drop()
+    ids = seen.df.select("doc_id").distinct()
+    # An id may have other texts besides; of equal sets one is enough.
+    sets = _sets(docs.join(ids, "doc_id", "left_semi"), width, lower).join(seen.df.select("node"), "node", "left_semi")
+    sets = Table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
     # The smallest member of a key is compared with every other one.
     stars = Table(
-        members.df.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        members.df.filter("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("parts").alias("parts"))
     )
     confirmed = Table(_confirm(stars.df, seen.df, sets.df, percent))
+    stars.drop()
+    seen.drop()
     found = Table(connected_components(confirmed.df))
     named = Table(
-        members.df.join(found.df.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", "pivot", F.coalesce("component", "rep").alias("component")
-        )
+        members.df.join(found.df, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("component"))
     )
+    members.drop()
+    found.drop()
     # Keys that still hold several components: their members meet all others that such keys tie them to, directly or
     # through one another, in blocks.
     split = named.df.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rest = Table(named.df.join(split.filter("low < high").select("key"), "key").select("rep", "pivot", "component").distinct())
+    rest = Table(named.df.join(split.filter("low < high").select("key"), "key").select("node", "pivot", "component").distinct())
+    named.drop()
     if rest.df.isEmpty():
         return confirmed.df
-    tied = Table(connected_components(rest.df, "pivot", "rep"))
+    tied = Table(connected_components(rest.df, "pivot", "node"))
     placed = Table(
-        rest.df.select("rep", "component").distinct()
-        .join(tied.df.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
-        .join(sets.df.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size")), "rep")
+        rest.df.select("node", "component").distinct()
+        .join(tied.df.select("node", F.col("component").alias("cluster")), "node")
+        .join(sets.df.select("node", F.size("shingles").alias("size")), "node")
     )
+    rest.drop()
+    tied.drop()
     return confirmed.df.union(_block_links(placed.df, sets.df, percent))
 
 
@@ -193,12 +248,12 @@ def _block_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     blocks = (
         placed.join(Table(chunks).df, "cluster")
-        .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "component")
+        .select("cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component")
     )
-    full = blocks.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep").select(
-        "cluster", "low", "high", "chunk", "rep", "component", "shingles"
+    full = blocks.join(sets, "node").select(
+        "cluster", "low", "high", "chunk", "node", "component", "shingles"
     )
     dealt = full.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
     names = ("cluster", "low", "high")
@@ -221,52 +276,59 @@ def _block_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def links(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.Table.from_batches(parts).combine_chunks()
-        rep, component, chunk = (block.column(c).to_numpy() for c in ("rep", "component", "chunk"))
+        node, component, chunk = (block.column(c).to_numpy() for c in ("node", "component", "chunk"))
         if len(np.unique(component)) < 2:
             return
         lists = block.column("shingles").chunk(0)
         sizes = np.asarray(lists.value_lengths()).astype(np.int64)
-        owner = np.repeat(np.arange(len(rep)), sizes)
+        owner = np.repeat(np.arange(len(node)), sizes)
         _, at, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
         common = np.cumsum(count > 1) - 1  # shingles of one set alone cannot be in an intersection
         met = count[at] > 1
         owner, at = owner[met], common[at[met]]
         by = np.argsort(at, kind="stable")
         owner, at = owner[by], at[by]
-        shared = np.zeros((len(rep), len(rep)), np.float32)
-        width = max(1, (4 << 20) // len(rep))
+        shared = np.zeros((len(node), len(node)), np.float32)
+        width = max(1, (4 << 20) // len(node))
         for begin in range(0, int(at[-1]) + 1 if len(at) else 0, width):
             lo, hi = np.searchsorted(at, (begin, begin + width))
-            ones = np.zeros((len(rep), width), np.float32)
+            ones = np.zeros((len(node), width), np.float32)
             ones[owner[lo:hi], at[lo:hi] - begin] = 1
             shared += ones @ ones.T
         union = sizes[:, None] + sizes[None, :] - shared
         linked = np.triu((100 * shared >= percent * union) & (component[:, None] != component[None, :]), 1)
         a, b = np.nonzero(linked)
         if len(a):
-            node, root = local_stars(rep[a], rep[b])
-            yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(node)], ["a", "b"])
+            of, root = local_stars(node[a], node[b])
+            yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(of)], ["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long").filter("a <> b")
 
 
 def _confirm(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Signature check with a margin of eight standard deviations, then the full sets decide."""
+    """Signature check with a margin of eight standard deviations, then the full sets decide.
+
+    A pivot that meets many members is copied once for each STAR_ROWS of them, so that none of them share a task only
+    because they share a pivot.
+    """
     floor = max(0.0, percent / 100 - 0.3)
     alike = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part")
+    pivots = Table(pairs.select("a", "parts").distinct().select("a", "parts", copies))
+    at = ["a", "parts", "part"]
     close = (
-        pairs.join(signed.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-        .join(signed.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
+        pairs.join(signed.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+        .join(pivots.df.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a"), at)
         .filter(alike >= F.size("sa") * F.lit(floor))
-        .select("a", "b")
+        .select(*at, "b")
     )
-    both = close.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b").join(
-        sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a"
+    both = close.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b").join(
+        pivots.df.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a"), at
     )
     common = F.size(F.array_intersect("xa", "xb"))
     return (
         both.withColumn("i", common)
         .filter(100 * F.col("i") >= percent * (F.size("xa") + F.size("xb") - F.col("i")))
         .select("a", "b")
-        .distinct()
     )

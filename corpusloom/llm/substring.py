@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ LEAST_BITS, MOST_BITS = 16, 28
 _SHARD_BITS = 6
 #: Windows that a partition gathers before it writes out a partial sketch.
 FLUSH = 1 << 22
+#: Characters of text whose partial sketches one task per shard merges; so many such merges then meet in one task.
+GROUP_CHARS, FAN = 1 << 31, 64
 
 
 def _cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +43,7 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint64).astype(np.uint32)
 
 
-def _partial(windows: list[np.ndarray], bits: int) -> pa.RecordBatch:
+def _partial(windows: list[np.ndarray], bits: int, part: int) -> pa.RecordBatch:
     h = np.concatenate(windows)
     shards, packed = [], []
     span = bits - _SHARD_BITS
@@ -51,62 +54,86 @@ def _partial(windows: list[np.ndarray], bits: int) -> pa.RecordBatch:
             if len(own):
                 shards.append(row << _SHARD_BITS | shard)
                 packed.append(_pack(own & np.uint32((1 << span) - 1)))
-    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(packed, pa.binary())], ["shard", "packed"])
+    parts = pa.array(np.full(len(shards), part, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), parts, pa.array(packed, pa.binary())], ["shard", "part", "packed"])
 
 
-def repeated_cells(docs: DataFrame, width: int, bits: int) -> list[np.ndarray]:
+_BITMAPS = "shard int, part long, once binary, twice binary"
+
+
+def _by_group(rows: Iterator[pa.RecordBatch], size: int, add) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of the cells met and of those met again, for each run of equal (shard, part); `add` brings in a row."""
+    now, once, twice = None, np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), *(pa.array([m.tobytes()], pa.binary()) for m in (once, twice))],
+            ["shard", "part", "once", "twice"],
+        )
+
+    for batch in rows:
+        for k, own in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if own != now:
+                if now is not None:
+                    yield done()
+                now = own
+                once[:], twice[:] = 0, 0
+            met, again = add(batch, k)
+            twice |= again | (once & met)
+            once |= met
+    if now is not None:
+        yield done()
+
+
+def repeated_cells(docs: DataFrame, width: int, bits: int, groups: int) -> list[np.ndarray]:
     """For each sketch row a bitmap of the cells whose merged count is 2 or more.
 
-    Partial sketches are merged by shards of the cell range, rows streamed one by one into saturating counters. Only
-    the fixed-size result, 2**bits bits a row, reaches the driver.
+    Partial sketches are dealt over shards of the cell range and `groups` groups of partitions, and streamed one by one
+    into bitmaps (met once, met again); bitmaps of FAN groups then meet, until one of each shard is left. A task's
+    input is bounded whatever the table's size. Only the fixed-size result, 2**bits bits a row, reaches the driver.
     """
+    size = 1 << (bits - _SHARD_BITS - 3)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, part = [], 0, TaskContext.get().partitionId()
         for batch in batches:
-            for _, _, data, offsets in ts.text_arrays(batch.column(0)):
-                pieces = ts.words(data, offsets)
-                _, h = ts.window_hashes(pieces.hashes(), pieces, width)
+            for _, _, texts in ts.text_steps(batch.column(0)):
+                pieces = ts.words(texts)
+                h = pieces.hashes(width, pieces.windows(width))
                 if len(h):
                     held.append(h)
                     n += len(h)
                 if n >= FLUSH:
-                    yield _partial(held, bits)
-                    held, n = [], 0
+                    yield _partial(held, bits, part % groups)
+                    held, n, part = [], 0, part + 1
         if n:
-            yield _partial(held, bits)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = 1 << (bits - _SHARD_BITS)
-        shard, count = None, np.zeros(span, np.uint8)
-
-        def done():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())],
-                ["shard", "bitmap"],
-            )
-
-        for batch in batches:
-            for own, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if own != shard:
-                    if shard is not None:
-                        yield done()
-                    shard = own
-                    count[:] = 0
-                cells = _unpack(packed.as_py())
-                new = np.ones(len(cells), bool)
-                new[1:] = cells[1:] != cells[:-1]
-                count[cells[~new]] = 2
-                once = cells[new]
-                count[once] = np.minimum(count[once] + 1, 2)
-        if shard is not None:
-            yield done()
-
-    partial = docs.select("text").mapInArrow(sketch, "shard int, packed binary")
-    merged = partial.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, bitmap binary")
+            yield _partial(held, bits, part % groups)
+
+    def counted(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+        cells = _unpack(batch.column(2)[k].as_py())  # sorted
+        again = np.zeros(8 * size, bool)
+        again[cells[1:][cells[1:] == cells[:-1]]] = True
+        met = np.zeros(8 * size, bool)
+        met[cells] = True
+        return np.packbits(met, bitorder="little"), np.packbits(again, bitorder="little")
+
+    def joined(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(batch.column(c)[k].as_py(), np.uint8) for c in (2, 3))
+
+    now = docs.select("text").mapInArrow(sketch, "shard int, part long, packed binary")
+    add = counted
+    while True:
+        # Bound here, since the functions below run when the loop has moved on.
+        def merge(batches: Iterator[pa.RecordBatch], add=add) -> Iterator[pa.RecordBatch]:
+            return _by_group(batches, size, add)
+
+        now = now.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(merge, _BITMAPS)
+        if groups == 1:
+            break
+        groups, add = math.ceil(groups / FAN), joined
+        now = now.withColumn("part", F.floor(F.col("part") / FAN))
     maps = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(2)]
-    size = 1 << (bits - _SHARD_BITS - 3)
-    for shard, bitmap in Table(merged).df.toLocalIterator():
+    for shard, bitmap in Table(now.select("shard", "twice")).df.toLocalIterator():
         row, at = shard >> _SHARD_BITS, (shard & ((1 << _SHARD_BITS) - 1)) * size
         maps[row][at : at + size] = np.frombuffer(bitmap, np.uint8)
     return maps
@@ -128,36 +155,35 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     claims words. Rows of one id count as one document. Other columns are ignored; empty tables give an empty table.
 
     The sketch is sized from the number of characters, up to 2**28 cells a row (64 MB in all): beyond that it lets
-    more windows through to the exact groups, and still loses none. A window is grouped by 96 bits of two hashes.
+    more windows through to the exact groups, and still loses none. Windows are grouped by a 128-bit cryptographic
+    digest of their words.
     """
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(chars / 2 + 2))))
     known = docs.filter("doc_id is not null")
-    shared = spark.sparkContext.broadcast(repeated_cells(known, width, bits))
+    shared = spark.sparkContext.broadcast(repeated_cells(known, width, bits, max(1, math.ceil(chars / GROUP_CHARS))))
+
+    def found(pieces: ts.Pieces) -> np.ndarray:
+        """Where windows begin that the sketch takes for repeated."""
+        at = pieces.windows(width)
+        return at[_hit(shared.value, pieces.hashes(width, at), bits)]
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for begin, _, data, offsets in ts.text_arrays(batch.column(1)):
-                pieces = ts.words(data, offsets)
-                hashes = pieces.hashes()
-                at, h = ts.window_hashes(hashes, pieces, width)
-                found = np.flatnonzero(_hit(maps, h, bits))
-                if len(found):
-                    _, g = ts.window_hashes(hashes, pieces, width, seed=3)
+            for begin, _, texts in ts.text_steps(batch.column(1)):
+                pieces = ts.words(texts)
+                at = found(pieces)
+                if len(at):
+                    name = pieces.digests(width, at)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h[found].view(np.int64)),
-                            pa.array((g[found] >> U64(32)).astype(np.uint32).view(np.int32)),
-                            pa.array(ids[begin + pieces.owner[at[found]]], pa.int64()),
-                        ],
+                        [pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(ids[begin + pieces.owner[at]], pa.int64())],
                         ["h", "g", "doc_id"],
                     )
 
-    met = known.mapInArrow(candidates, "h long, g int, doc_id long")
+    met = known.mapInArrow(candidates, "h long, g long, doc_id long")
     # Pre-aggregated map-side, then an equi-join whose hot passages AQE splits.
     owners = Table(met.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first"))
     later = Table(met.join(owners.df, ["h", "g"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("h").alias("later")))
@@ -166,37 +192,34 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            for begin, end, data, offsets in ts.text_arrays(batch.column(1)):
-                pieces = ts.words(data, offsets)
-                gone = np.zeros(len(pieces.starts), bool)
-                own = lists.slice(begin, end - begin)
+            for begin, end, texts in ts.text_steps(batch.column(1)):
+                own = batch.column(2).slice(begin, end - begin)
                 sizes = np.asarray(own.value_lengths().fill_null(0))
-                if sizes.any():
-                    at, h = ts.window_hashes(pieces.hashes(), pieces, width)
-                    key = own.flatten().to_numpy(zero_copy_only=False).view(U64)
-                    # A window and its text in one number, so that one search serves all texts of the step.
-                    salt = ts.mix(np.arange(len(sizes), dtype=U64) + U64(1))
-                    hit = np.isin(h ^ salt[pieces.owner[at]], key ^ np.repeat(salt, sizes))
-                    gone = ts.covered(len(gone), at[hit], width)
-                kept, removed = [], np.zeros(len(sizes), np.int64)
-                np.add.at(removed, pieces.owner[gone], 1)
-                raw = data.tobytes()
-                for t in range(len(sizes)):
-                    text = raw[offsets[t] : offsets[t + 1]]
-                    if not removed[t]:
-                        kept.append(b" ".join(_split(text)))
+                bounds = np.concatenate(([0], np.cumsum(sizes)))
+                want = own.flatten().to_numpy(zero_copy_only=False)
+                kept, n_words, removed = [], [], np.zeros(len(texts), np.int64)
+                for t, text in enumerate(texts):
+                    gone = np.zeros(0, bool)
+                    if sizes[t]:
+                        pieces = ts.words([text])
+                        at = found(pieces)
+                        at = at[np.isin(pieces.digests(width, at)[:, 0], want[bounds[t] : bounds[t + 1]])]
+                        gone = ts.covered(len(pieces), at, width)
+                        removed[t] = gone.sum()
+                    if removed[t]:
+                        n_words.append(len(gone))
+                        kept.append(ts.kept_words(text, gone))
                     else:
-                        mine = slice(pieces.first[t], pieces.first[t + 1])
-                        stay = ~gone[mine]
-                        kept.append(b" ".join([raw[a:b] for a, b in zip(pieces.starts[mine][stay].tolist(), pieces.ends[mine][stay].tolist())]))
+                        n, parts = 0, []
+                        for part in ts.word_parts(text):
+                            n += len(part)
+                            parts.append(b" ".join(part))
+                        n_words.append(n)
+                        kept.append(b" ".join([p for p in parts if p]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), pa.array(pieces.counts, pa.int64()), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())],
+                    [batch.column(0).slice(begin, end - begin), pa.array(n_words, pa.int64()), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())],
                     ["doc_id", "n_words", "n_removed", "kept"],
                 )
 
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
-
-def _split(text: bytes) -> list[bytes]:
-    return text.split()  # bytes split at exactly \x20 and \x09-\x0D

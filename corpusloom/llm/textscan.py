@@ -1,7 +1,9 @@
-"""Vectorised word and line scans over Arrow string columns: no Python object per word."""
+"""Word and line scans over Arrow string columns: pieces as byte strings, known by 128-bit cryptographic digests."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +12,19 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that one vectorised step handles; bounds the temporary arrays.
 STEP_BYTES = 1 << 19
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Digests of short words that a worker remembers; beyond that it starts anew.
+WORDS_HELD, LONGEST_HELD = 1 << 18, 64
+_KEY = b"corpusloom pieces"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finaliser."""
+    h = h ^ (h >> U64(33))
+    h = h * U64(0xFF51AFD7ED558CCD)
+    h ^= h >> U64(33)
+    h *= U64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> U64(33))
 
 
 def odd_constants(n: int, seed: int) -> np.ndarray:
@@ -21,113 +32,111 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * U64(2) + U64(1)
 
 
-_POW = np.empty(0, U64)
-_BASE = 0x9E6C63D0876A3F6B
+def digest(piece: bytes) -> bytes:
+    """128 bits that name a piece: equal pieces have equal ones, and nobody can make unequal pieces share one."""
+    return hashlib.blake2b(piece, digest_size=16, key=_KEY).digest()
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if len(_POW) < n:
-        size = max(n, 4096)
-        grown = np.full(size, U64(_BASE))
-        grown[0] = U64(1)
-        _POW = np.multiply.accumulate(grown)
-    return _POW[:n]
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        name = digest(word)
+        if len(word) <= LONGEST_HELD:
+            if len(self) >= WORDS_HELD:
+                self.clear()
+            self[word] = name
+        return name
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser."""
-    h = h ^ (h >> U64(33))
-    h = h * U64(0xFF51AFD7ED558CCD)
-    h ^= h >> U64(33)
-    h *= U64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> U64(33))
+_digests = _Digests()
 
 
-def text_arrays(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) in steps of about STEP_BYTES; a null text counts as empty."""
+def text_steps(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, end row, UTF-8 texts) in steps of about STEP_BYTES; a null text counts as empty."""
     column = column.cast(pa.large_binary())
     n = len(column)
     if not n:
         return
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    data = memoryview(column.buffers()[2] or b"")
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, "right")) - 1)
         end = min(end, n)
-        yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+        cuts = offsets[at : end + 1].tolist()
+        yield at, end, [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
         at = end
 
 
+def word_parts(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, maximal runs of bytes other than \\x20 and \\x09-\\x0D, in lists of bounded size."""
+    at, n = 0, len(text)
+    while at < n:
+        end = at + STEP_BYTES
+        if end < n:
+            found = _SPACE.search(text, end)
+            end = found.start() if found else n
+        yield (text if at == 0 and end >= n else text[at:end]).split()  # bytes split at exactly these
+        at = end
+
+
+def words(texts: list[bytes], lower: bool = False) -> Pieces:
+    """Words of texts; lower folds A-Z."""
+    names, counts = [], []
+    for text in texts:
+        count = 0
+        for part in word_parts(text.lower() if lower else text):
+            names.append(b"".join(map(_digests.__getitem__, part)))
+            count += len(part)
+        counts.append(count)
+    return Pieces(b"".join(names), counts)
+
+
+def lines(texts: list[bytes]) -> Pieces:
+    """Texts split at \\n, as str.split does: a text with k line feeds has k + 1 lines, an empty text one empty line."""
+    names, counts = [], []
+    for text in texts:
+        own = text.split(b"\n")
+        names += map(digest, own)
+        counts.append(len(own))
+    return Pieces(b"".join(names), counts)
+
+
 class Pieces:
-    """Words or lines of a run of texts: starts and ends in bytes, the text of each, and how many each text has."""
+    """Words or lines of a run of texts: the digest of each, and how many each text has."""
 
-    __slots__ = ("bytes", "counts", "ends", "first", "owner", "starts")
+    __slots__ = ("counts", "first", "names", "owner")
 
-    def __init__(self, data, starts, ends, owner, texts):
-        self.bytes, self.starts, self.ends, self.owner = data, starts, ends, owner
-        self.counts = np.bincount(owner, minlength=texts)
+    def __init__(self, names: bytes, counts: list[int]) -> None:
+        self.names = names
+        self.counts = np.array(counts, np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.counts)))
+        self.owner = np.repeat(np.arange(len(counts)), self.counts)
+
+    def __len__(self) -> int:
+        return len(self.owner)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash for each piece, equal for equal bytes."""
-        n = len(self.starts)
-        if not n:
-            return np.empty(0, U64)
-        sizes = self.ends - self.starts
-        total = int(sizes.sum())
-        base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        place = np.arange(total) - np.repeat(base, sizes)
-        value = self.bytes[np.repeat(self.starts, sizes) + place].astype(U64) + U64(1)
-        value *= _powers(int(sizes.max()) + 1)[place]
-        full = sizes > 0
-        out = np.zeros(n, U64)
-        if total:
-            out[full] = np.add.reduceat(value, base[full])
-        return mix(out + sizes.astype(U64) * U64(0x9E3779B97F4A7C15))
-
-
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Pieces:
-    """Maximal runs of bytes other than \\x20 and \\x09-\\x0D, cut at the ends of texts; lower folds A-Z."""
-    if lower:
-        data = _LOWER[data]
-    inside = ~_SPACE[data]
-    begin, finish = inside.copy(), inside.copy()
-    begin[1:] &= ~inside[:-1]
-    finish[:-1] &= ~inside[1:]
-    edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(data))]
-    begin[edges] = inside[edges]
-    finish[edges - 1] = inside[edges - 1]
-    starts = np.flatnonzero(begin)
-    ends = np.flatnonzero(finish) + 1
-    owner = np.searchsorted(offsets, starts, "right") - 1
-    return Pieces(data, starts, ends, owner, len(offsets) - 1)
-
-
-def lines(data: np.ndarray, offsets: np.ndarray) -> Pieces:
-    """Texts split at \\n, as str.split does: a text with k line feeds has k+1 lines, an empty text one empty line."""
-    texts = len(offsets) - 1
-    cuts = np.flatnonzero(data == 10)
-    starts = np.concatenate((offsets[:-1], cuts + 1))
-    ends = np.concatenate((cuts, offsets[1:]))
-    owner_s = np.concatenate((np.arange(texts), np.searchsorted(offsets, cuts, "right") - 1))
-    owner_e = np.concatenate((np.searchsorted(offsets, cuts, "right") - 1, np.arange(texts)))
-    a, b = np.lexsort((starts, owner_s)), np.lexsort((ends, owner_e))
-    return Pieces(data, starts[a], ends[b], owner_s[a], texts)
-
-
-def window_hashes(hashes: np.ndarray, pieces: Pieces, width: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first piece, hash) of each run of `width` pieces inside one text."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, U64)
-    total = np.zeros(n, U64)
-    for k, c in enumerate(odd_constants(width, seed)):
-        total += hashes[k : k + n] * c
-    whole = np.flatnonzero(pieces.owner[:n] == pieces.owner[width - 1 :])
-    return whole, mix(total[whole])
+    def windows(self, width: int) -> np.ndarray:
+        """Where runs of `width` pieces begin that lie in one text."""
+        return np.flatnonzero(self.owner[: max(0, len(self) - width + 1)] == self.owner[width - 1 :])
+
+    def hashes(self, width: int, at: np.ndarray) -> np.ndarray:
+        """64 bits of the windows that begin at `at`; equal windows have equal ones. Halves of a run are mixed in turn."""
+        known = {1: np.frombuffer(self.names, "<u8")[::2].astype(U64)}
+
+        def run(n: int) -> np.ndarray:
+            if n not in known:
+                left, right = run(n // 2), run(n - n // 2)
+                size = max(0, len(self) - n + 1)
+                known[n] = mix(left[:size] * U64(0x9E3779B97F4A7C15) + (right[n // 2 : n // 2 + size] ^ U64(n)))
+            return known[n]
+
+        return run(width)[at]
+
+    def digests(self, width: int, at: np.ndarray) -> np.ndarray:
+        """(windows, 2) 64-bit halves of the 128-bit digest of each window that begins at `at`."""
+        names, size = memoryview(self.names), 16 * width
+        raw = b"".join([hashlib.blake2b(names[i : i + size], digest_size=16).digest() for i in (at * 16).tolist()])
+        return np.frombuffer(raw, "<i8").reshape(-1, 2)
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -136,3 +145,18 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + width, n), -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def kept_words(text: bytes, gone: np.ndarray) -> bytes:
+    """The words of a text that are not gone, joined by one space."""
+    out, at, stay = [], 0, ~gone
+    for part in word_parts(text):
+        mine = stay[at : at + len(part)]
+        out += part if mine.all() else [w for w, s in zip(part, mine.tolist()) if s]
+        at += len(part)
+    return b" ".join(out)
+
+
+def kept_lines(text: bytes, gone: np.ndarray) -> bytes:
+    """The lines of a text that are not gone, joined by line feeds."""
+    return b"\n".join([line for line, g in zip(text.split(b"\n"), gone.tolist()) if not g])
