@@ -39,6 +39,30 @@ def unknown_letters() -> str:
     return "".join(f"\\U{ord(c):08x}" for c in left) or r"\x00"
 
 
+def odd_letters() -> str:
+    """Code points on whose normal form or case Python and the vocabulary's library may differ, as the inside of a
+    character class: those that Python's Unicode tables do not know, and marks and composed letters that the library
+    does not order or compose as Python does. All others are fixed by the standard."""
+    from tokenizers import normalizers
+
+    nfc = normalizers.NFC().normalize_str
+    points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    odd = {ord(c) for c in points if unicodedata.category(c) == "Cn"}
+    by_class = {unicodedata.combining(c): c for c in points if unicodedata.combining(c)}
+    for c in points:
+        if unicodedata.combining(c):
+            probes = [t for m in by_class.values() for t in (f"a{m}{c}", f"a{c}{m}")]
+            if any(nfc(t) != unicodedata.normalize("NFC", t) for t in probes):
+                odd.add(ord(c))
+        spelled = unicodedata.normalize("NFD", c)
+        if spelled != c and nfc(spelled) != unicodedata.normalize("NFC", c):
+            odd.update(map(ord, spelled + c))
+    points = sorted(odd)
+    starts = [c for c, before in zip(points, [-1, *points]) if c != before + 1]
+    ends = [c for c, after in zip(points, [*points[1:], -1]) if c != after - 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+
 class Automaton:
     """A deterministic automaton over tokens that accepts, for each string of symbols, its BPE tokenisation alone.
 
@@ -97,6 +121,7 @@ class Tokenizer:
         new = unknown_letters()
         known = "(?V1)" + self.SPLIT.format(L=rf"[\p{{L}}--[{new}]]", N=rf"[\p{{N}}--[{new}]]", S=self.SPACE)
         self.split_far, self.far = regex.compile(known), re.compile("[^\x00-\u052f]")
+        self.odd = re.compile(f"[{odd_letters()}]")
         model = config["model"]
         vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"]
@@ -191,6 +216,18 @@ class Tokenizer:
             self.words[word] = ids
         return ids
 
+    def normal(self, text: str) -> str:
+        """The text in composed form and lower case, as the vocabulary's library has them."""
+        if text.isascii():
+            return text.lower()
+        if self.odd.search(text):
+            from tokenizers import normalizers
+
+            return normalizers.Lowercase().normalize_str(normalizers.NFC().normalize_str(text))
+        text = unicodedata.normalize("NFC", text)
+        # Lower-casing is by character: a capital sigma has no final form here.
+        return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
@@ -201,9 +238,7 @@ class Tokenizer:
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
                 continue
-            part = unicodedata.normalize("NFC", part)
-            # Lower-casing is by character: a capital sigma has no final form here.
-            part = (part.replace("Σ", "σ") if "Σ" in part else part).lower()
+            part = self.normal(part)
             words = (self.split_far if self.far.search(part) else self.split).findall(part)
             held = self.words
             got = list(map(held.get, words))
