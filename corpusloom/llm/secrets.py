@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -30,33 +31,126 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%\(.*\).*|your[_-].*
 #: A literal is reported from this product of its name's and its own score.
 LEAST_SCORE = 0.5
 
-# Of a longer dotted name the last parts are taken, so that a text is scanned in linear time.
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*+(?:[.-][A-Za-z0-9_$]++){0,6}"
-_STRING = r'"(?:\\.|[^"\\\n])*+"|\'(?:\\.|[^\'\\\n])*+\'|`[^`\n]*+`'
-#: name ["' ] operator expression: `a = "x"`, `a: x`, `"a": "x"`, `a["b"] := x`, `a => 'x' + "y"`.
-LEXEME = re.compile(
-    rf"""(?<![A-Za-z0-9_$])({_NAME})["'`]?\]?[\x20\t]*(?::=|=>|[:=](?![=:]))[\x20\t]*((?:{_STRING})(?:[\x20\t]*[+.][\x20\t]*(?:{_STRING}|{_NAME}))*|[A-Za-z0-9_$+/.=~!@#%^&*-]+)"""
+# Of names of passphrases, literals may hold blanks.
+PHRASES = frozenset("password passwd pwd passphrase phrase".split())
+#: Distinct characters that an entropy is taken over: code points modulo this.
+_ALPHABET = 128
+
+# The token classes of source and configuration text. Names may be dotted; runs are possessive, so lexing is linear.
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*+(?:(?:\.|->|::|-)[A-Za-z0-9_$]++)*+"
+_STRING = (
+    r'"""(?:[^"\\]|\\.|"(?!""))*+"""' + r"|'''(?:[^'\\]|\\.|'(?!''))*+'''"
+    r'|"(?:\\.|[^"\\\n])*+"' + r"|'(?:\\.|[^'\\\n])*+'|`[^`\n]*+`"
 )
-_PART = re.compile(_STRING + "|" + _NAME)
+#: A target and its operator: `a =`, `a :`, `"a":`, `a["b"] :=`, `a =>`, `a: str =`; the name is group 1.
+_ANNOTATION = r"(?:[\x20\t]*+:[\x20\t]*+[A-Za-z_][A-Za-z0-9_.\[\]]*+(?=[\x20\t]*+=(?!=)))?"
+TARGET = re.compile(rf"""(?<![A-Za-z0-9_$.-])({_NAME})["'`]?+\]?+{_ANNOTATION}[\x20\t]*+(?::=|=>|=(?![=>~])|:(?![=:]))""")
+_TERM = re.compile(rf"[\x20\t]*+(?:[\x20\t(]*+)(?:[rbuf]{{1,2}}(?=[\"']))?(?:({_STRING})|({_NAME})(?![A-Za-z0-9_(/+=~@#%^&*]))", re.S)
+#: What joins terms: an operator, or nothing between two strings. A name must follow an operator.
+_JOIN = re.compile(r"""[\x20\t)]*+(?:(\+(?!=)|\.\.?(?![.\d])|&(?!&)|\|\|)(?:[\x20\t]*+\\?\n)?|(?=["']))""")
+_BARE = re.compile(r"[\x20\t]*+([A-Za-z0-9_$+/.=~!@#%^&*-]++)")
+_BLANKS = re.compile(r"[\x20\t]*+")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
 
 
-def name_score(name: str) -> float:
+class Value:
+    """What a name stands for: a literal, or two values joined. It keeps what a score needs, never its whole text."""
+
+    __slots__ = ("blank", "counts", "kinds", "left", "length", "placeholder", "reported", "right", "span")
+
+    @classmethod
+    def literal(cls, text: str, start: int) -> Value:
+        own = cls()
+        own.span, own.left, own.right, own.reported = (start, start + len(text)), None, None, False
+        own.length = float(len(text))
+        own.counts = Counter(ord(c) % _ALPHABET for c in text)
+        own.kinds = frozenset("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in set(text))
+        own.blank = " " in text.strip()
+        own.placeholder = not text or PLACEHOLDER.match(text) is not None
+        return own
+
+    @classmethod
+    def joined(cls, left: Value, right: Value) -> Value:
+        own = cls()
+        own.span, own.left, own.right, own.reported = None, left, right, False
+        own.length = left.length + right.length
+        own.counts = Counter(left.counts)
+        for c, n in right.counts.items():
+            own.counts[c] += n
+        if own.length > 1e12:  # joined with itself again and again: only proportions count
+            own.length, own.counts = 1e6, Counter({c: n * 1e6 / own.length for c, n in own.counts.items()})
+        own.kinds = left.kinds | right.kinds
+        own.blank = left.blank or right.blank
+        own.placeholder = left.placeholder and right.placeholder
+        return own
+
+    def score(self, phrase: bool) -> float:
+        """0 for short values and placeholders; rises with length, alphabet and entropy to 1, less than half for blanks."""
+        if self.length < 6 or self.placeholder:
+            return 0.0
+        total = sum(self.counts.values())
+        bits = -sum(n / total * math.log2(n / total) for n in self.counts.values() if n)
+        whole = min(1.0, 0.35 + 0.1 * len(self.kinds) + 0.1 * bits + 0.01 * min(self.length, 20))
+        return 0.45 * whole if self.blank and not phrase else whole
+
+    def report(self) -> Iterator[tuple[int, int]]:
+        """Spans of its literals that were not reported before."""
+        todo = [self]
+        while todo:
+            one = todo.pop()
+            if one.reported:
+                continue
+            one.reported = True
+            if one.span:
+                yield one.span
+            else:
+                todo += [one.left, one.right]
+
+
+@functools.lru_cache(4096)
+def name_parts(name: str) -> tuple[float, bool]:
+    """(how strongly a target's name speaks for a secret, whether it may be a phrase)."""
     parts = [w.lower() for w in _WORDS.findall(name)]
     joined = [a + b for a, b in zip(parts, parts[1:])]
-    return max((NAME_WEIGHT.get(p, 0.0) for p in (*parts, *joined)), default=0.0)
+    words = [*parts, *joined]
+    return max((NAME_WEIGHT.get(p, 0.0) for p in words), default=0.0), not PHRASES.isdisjoint(words)
+
+
+def name_score(name: str) -> float:
+    return name_parts(name)[0]
 
 
 def literal_score(text: str) -> float:
-    """0 for short or placeholder literals; rises with length, alphabet and entropy to 1."""
-    if len(text) < 6 or PLACEHOLDER.match(text) or " " in text.strip():
-        return 0.0
-    n = len(text)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
-    kinds = sum(bool(re.search(p, text)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, 0.35 + 0.1 * kinds + 0.1 * bits + 0.01 * min(n, 20))
+    return Value.literal(text, 0).score(False)
+
+
+def _expression(text: str, at: int, held: dict[str, Value]) -> tuple[Value | None, int]:
+    """(value, end) of `term (join term)*` from `at`, a term being a string or a name. None if no part is known."""
+    value, joins = None, False
+    while True:
+        term = _TERM.match(text, at)
+        if term is None:
+            return value, at
+        string, name = term.group(1, 2)
+        if string is not None:
+            quote = 3 if string[:3] in ('"""', "'''") and len(string) >= 6 else 1
+            own = Value.literal(string[quote:-quote], term.start(1) + quote)
+        elif joins or at == term.start() and value is None:
+            own = held.get(name)
+        else:
+            return value, at
+        if own is not None:
+            value = own if value is None else Value.joined(value, own)
+        at = term.end()
+        join = _JOIN.match(text, at)
+        if join is None or (join.group(1) is None and string is None):
+            return value, at
+        if join.group(1) is None and _TERM.match(text, join.end()) is None:
+            return value, at
+        joins = join.group(1) is not None
+        at = join.end()
 
 
 def base_spans(text: str) -> list[Span]:
@@ -67,28 +161,41 @@ def base_spans(text: str) -> list[Span]:
 
 
 def literal_spans(text: str) -> list[Span]:
-    """Literals that reach a sensitively named target: directly, joined with others, or through named constants."""
+    """Literals that reach a sensitively named target: directly, joined with others, or through named constants.
+
+    Targets of a chain `a = b = "x"` all get the value; a name keeps the last one. A value is scored as a whole, and
+    all its literals are reported. Unquoted values are literals up to the next blank or delimiter.
+    """
     if "=" not in text and ":" not in text:
         return []
-    held: dict[str, list[tuple[int, int]]] = {}
-    found: set[Span] = set()
-    for m in LEXEME.finditer(text):
-        name, expression, at = m.group(1), m.group(2), m.start(2)
-        parts: list[tuple[int, int]] = []
-        if expression[0] in "\"'`":
-            for p in _PART.finditer(expression):
-                piece = p.group()
-                parts += [(at + p.start() + 1, at + p.end() - 1)] if piece[0] in "\"'`" else held.get(piece, [])
-        elif expression in held:
-            parts = held[expression]
-        else:
-            parts = [(at, at + len(expression.rstrip(".,;")))]
-        parts = list(dict.fromkeys(parts))  # a literal joined with itself counts once
-        value = "".join(text[a:b] for a, b in parts)
-        if name_score(name) * literal_score(value) >= LEAST_SCORE:
-            found.update((a, 3, b) for a, b in parts if b > a)
-        held[name] = parts
-    return sorted(found)
+    held: dict[str, Value] = {}
+    found: list[Span] = []
+    targets: list[str] = []
+    at = 0
+    while (m := TARGET.search(text, at)) is not None:
+        targets.append(m.group(1))
+        at = m.end()
+        further = _BLANKS.match(text, at).end()
+        chained = TARGET.match(text, further)
+        if chained is not None and "=" in text[m.end(1) : m.end()] and "=" in text[chained.end(1) : chained.end()]:
+            at = further
+            continue
+        value, end = _expression(text, at, held)
+        bare = _BARE.match(text, at) if value is None else None
+        # Without a string or a known name: a bare word of a configuration, unless it is called or indexed.
+        if bare is not None and (end == at or bare.end() <= end) and text[bare.end() : bare.end() + 1] not in ("(", "["):
+            value, end = Value.literal(bare.group(1).rstrip(".,;"), bare.start(1)), bare.end()
+        for name in targets:
+            if value is None:
+                held.pop(name, None)
+                continue
+            held[name] = value
+            weight, phrase = name_parts(name)
+            if weight and weight * value.score(phrase) >= LEAST_SCORE:
+                found += [(a, 3, b) for a, b in value.report() if b > a]
+        targets = []
+        at = max(end, at)
+    return sorted(set(found))
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -107,8 +214,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans), one row for each row of docs.
 
     Positions are code points, ends exclusive. The base kinds are found leftmost and without overlap, each by itself;
-    `literal` spans come from lexing. A name keeps its last value within its text. Null and empty texts have no spans
-    and the digest of the empty string. Ids may be null or repeated; other columns are ignored.
+    `literal` spans come from lexing. A name keeps its last value within its text. Time grows with a text's length and
+    not with the lengths of chains of constants. Null and empty texts have no spans and the digest of the empty string.
+    Ids may be null or repeated, each row is judged by itself; other columns are ignored; empty tables stay empty.
     """
     ship(docs.sparkSession)
 
