@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from corpusloom.session import ship
 
-#: Labelled rows that a model is fitted on at most, taken by a hash of the id; the lexicon it learns at most.
-SAMPLE_ROWS, LEXICON_TERMS = 6_000, 400
+#: Labelled rows that a model is fitted on at most, taken by a hash of the id, and characters of their whole texts.
+SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 64_000_000
 #: Whole terms from this length on also match at one edit.
 FUZZY_LENGTH = 5
 #: Words on either side of a hit that tell quotation from abuse.
@@ -259,7 +259,7 @@ def learn_terms(texts: list[str], labels: np.ndarray) -> list[tuple[str, bool, f
     for i, (text, label) in enumerate(zip(texts, labels)):
         words = "".join(c if table[ord(c)] else " " for c in text.lower()).split()
         place = {w: k for k, w in enumerate(words) if not w.isdigit()}
-        terms = {(w, False): w for w in place if 3 <= len(w) <= 24}
+        terms = {(w, False): w for w in place if len(w) >= 3}
         terms |= {(w[:k], True): w for w in place for k in (4, 5, 6) if len(w) >= k}
         for t, w in terms.items():
             n_with[t] += 1
@@ -282,7 +282,7 @@ def learn_terms(texts: list[str], labels: np.ndarray) -> list[tuple[str, bool, f
     out, covered = [], set()
     # The widest reach first; word starts have to reach further than whole words, longer terms win ties.
     for t in sorted(good, key=lambda t: (-len(good[t][0]) * (0.9 if t[1] else 1.0), -len(t[0]), t[0])):
-        if len(good[t][0] - covered) >= max(2, 0.25 * len(good[t][0])) and len(out) < LEXICON_TERMS:
+        if len(good[t][0] - covered) >= max(2, 0.25 * len(good[t][0])):
             out.append((*t, good[t][1]))
             covered |= good[t][0]
     if out:
@@ -290,22 +290,35 @@ def learn_terms(texts: list[str], labels: np.ndarray) -> list[tuple[str, bool, f
         have = {t for t, _, _ in out}
         more = sorted((t for t in good if not t[1] and t[0] not in have), key=lambda t: (-len(good[t][0]), t[0]))
         stems = tuple(t for t, s, _ in out if s)
-        out += [(*t, good[t][1]) for t in more if not (stems and t[0].startswith(stems))][: LEXICON_TERMS - len(out)]
+        out += [(*t, good[t][1]) for t in more if not (stems and t[0].startswith(stems))]
         # A stem matches exactly. The words that it stands for match at one edit too, rarer ones on its evidence.
         under = [t for t, rate in rates.items() if not t[1] and len(t[0]) >= FUZZY_LENGTH and rate > 0.8 and t[0] not in have and stems and t[0].startswith(stems)]
         under.sort(key=lambda t: (-len(toxic_with[t]), t[0]))
-        out += [(*t, rates[t]) for t in under][: LEXICON_TERMS - len(out)]
+        out += [(*t, rates[t]) for t in under]
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model of at most sample_rows labelled rows, none of them held out; rows of null text or label teach nothing."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS
+) -> Model:
+    """A model of at most sample_rows labelled rows of sample_chars characters, none of them held out, taken in an order
+    by a hash of the id; rows of null text or label teach nothing. Of an id's labels the highest counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("toxic")).filter("toxic is not null")
-    known = known.filter(~held_out(F.col("doc_id")))
+    known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The labels' ids are ranked before any text is read; the sample's rows then meet their texts.
-    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(sample_rows).collect()
+    place = F.xxhash64("doc_id", F.lit(17)).alias("place")
+    chosen = known.select("doc_id", "toxic", place).orderBy("place", "doc_id").limit(sample_rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    met = texts.join(F.broadcast(chosen), "doc_id")
+    # A row is in if those before it and itself have no more than sample_chars characters.
+    sizes = met.select("place", "doc_id", F.length("text").alias("n")).orderBy("place", "doc_id", "n").limit(sample_rows).collect()
+    total, ids = 0, []
+    for r in sizes:
+        total += r.n
+        if total <= sample_chars:
+            ids.append(r.doc_id)
+    fits = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "doc_id long")
+    rows = met.join(F.broadcast(fits), "doc_id").orderBy("doc_id", "text").limit(sample_rows).collect()
     sample, y = [r.text for r in rows], np.array([int(r.toxic) for r in rows])
     terms = learn_terms(sample, y)
     have = {t for t, _, _ in terms}
@@ -323,7 +336,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     texts are read. Columns of any name pass through; empty tables stay empty.
     """
     spark = ship(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # at most LEXICON_TERMS terms
+    shared = spark.sparkContext.broadcast(model)  # bounded by the fitted sample
     place = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("__corpusloom_score", T.DoubleType()), T.StructField("__corpusloom_predicted", T.IntegerType())])
     names = schema.names
