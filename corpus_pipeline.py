@@ -13,37 +13,41 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go. Labels of held-out ids teach it nothing."""
+    """Documents that the toxicity model rejects go. Labels of held-out ids teach it nothing. A row is judged by its own
+    text, whatever its id; null, empty and wordless texts stay."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.toxicity(docs, model)
     return scored.filter(F.col("__corpusloom_predicted") == 0).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of later occurrences of three-line windows go; n_chars follows the text. Every document stays a row."""
+    """Lines of later occurrences of three-line windows go; n_chars follows the text. Every document stays a row.
+    Null texts and rows of null id stay as they are; n_chars of a null text stays too."""
     cut = linedup.line_dedup(docs)
     n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return cut.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest id. Shingles of five words, Jaccard 0.8."""
-    found = Table(minhash.near_duplicates(docs)).df
-    copies = found.filter("not kept").select("doc_id").distinct()
-    stay = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    rows, ids = found.filter("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
-    return stay if rows == ids else stay.dropDuplicates(["doc_id", "text"])
+    """One document of each group of near copies stays: that of the smallest id. Shingles of five words, Jaccard 0.8.
+
+    Rows are judged by their own texts: of rows of one id with unlinked texts each is in a group of its own text. A
+    repeated row stays once. Rows of null id and texts without words are in no group and stay.
+    """
+    return minhash.without_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or sampled so that sources come near their target weights; n_chars follows the text."""
+    """Documents repeated or sampled so that sources come near their target weights; n_chars follows the text. A document
+    of which the mix takes nothing, as one without words, goes; rows of null id or source take part like others."""
     out = mixing.mixed(docs)
     n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of the decoded text of each row."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of the decoded text of each row, repeated rows
+    each by itself. A null text counts as empty: no tokens, no bytes."""
     import public_tokenizers
 
     coded = bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
