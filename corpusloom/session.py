@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
+import threading
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,17 +19,31 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+_cleanup_lock = threading.Lock()
+_cleaning, _before = 0, ["false"]
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the driver was started from, and keep their batches small."""
+    """Let Python workers import this package wherever they run, and keep their batches small.
+
+    The package travels as one archive that Spark sends to every executor, once a session.
+    """
     for key, value in _BATCHES.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
-    env = spark.sparkContext.environment
-    have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in have:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *have])
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = os.path.join(folder, "corpusloom.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for at, _, names in os.walk(os.path.join(ROOT, "corpusloom")):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(at, name)
+                    out.write(full, os.path.relpath(full, ROOT))
+        context.addPyFile(archive)
     return spark
 
 
@@ -37,6 +56,24 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def _no_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the query that wrote them, while any thread is in here."""
+    global _cleaning
+    with _cleanup_lock:
+        if not _cleaning:
+            _before[0] = spark.conf.get(_CLEANUP, "false")
+        _cleaning += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _cleanup_lock:
+            _cleaning -= 1
+            if not _cleaning:
+                spark.conf.set(_CLEANUP, _before[0])
+
+
 class Table:
     """A DataFrame written as Parquet to the shared folder: a short lineage that outlives lost executors."""
 
@@ -47,12 +84,8 @@ class Table:
             atexit.register(_sweep)
         _written.append((self.spark, self.path))
         # Once the rows are written nobody reads the shuffle files that led to them.
-        before = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with _no_leftovers(self.spark):
             df.write.parquet(self.path)
-        finally:
-            self.spark.conf.set(_CLEANUP, before)
         self.schema = df.schema
 
     @property
