@@ -122,15 +122,7 @@ class Pieces:
     def hashes(self, width: int, at: np.ndarray) -> np.ndarray:
         """64 bits of the windows that begin at `at`; equal windows have equal ones. Halves of a run are mixed in turn."""
         known = {1: np.frombuffer(self.names, "<u8")[::2].astype(U64)}
-
-        def run(n: int) -> np.ndarray:
-            if n not in known:
-                left, right = run(n // 2), run(n - n // 2)
-                size = max(0, len(self) - n + 1)
-                known[n] = mix(left[:size] * U64(0x9E3779B97F4A7C15) + (right[n // 2 : n // 2 + size] ^ U64(n)))
-            return known[n]
-
-        return run(width)[at]
+        return _run(known, width)[at]
 
     def digests(self, width: int, at: np.ndarray) -> np.ndarray:
         """(windows, 2) 64-bit halves of the 128-bit digest of each window that begins at `at`."""
@@ -139,6 +131,16 @@ class Pieces:
         return np.frombuffer(raw, "<i8").reshape(-1, 2)
 
 
+def _run(known: dict[int, np.ndarray], width: int) -> np.ndarray:
+    """The hash of each run of `width` pieces, from those of its halves. Not a closure: one that calls itself would hold
+    the arrays until the next collection of cycles."""
+    if width not in known:
+        left, right = _run(known, width // 2), _run(known, width - width // 2)
+        size = max(0, len(known[1]) - width + 1)
+        known[width] = mix(left[:size] * U64(0x9E3779B97F4A7C15) + (right[width // 2 : width // 2 + size] ^ U64(width)))
+    return known[width]
+
+
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     """Which of n positions lie in a window of `width` that begins at one of `starts`."""
     edge = np.zeros(n + 1, np.int64)
