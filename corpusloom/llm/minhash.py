@@ -16,7 +16,7 @@ from corpusloom.session import Table, ship
 
 U64 = np.uint64
 _P = "__corpusloom_"
-SIGNED = "doc_id long, n_shingles long, node long, text_key binary, signature array<int>"
+SIGNED = "doc_id long, n_shingles long, set_key binary, text_key binary, signature array<int>"
 #: A chunk of a cluster holds about so many sets, and so many shingles, at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
 #: Members of a band key that meet one copy of the key's smallest member.
@@ -42,11 +42,11 @@ def shingle_sets(texts: list[bytes], width: int, lower: bool = True) -> tuple[np
     return value, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def set_nodes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each whole set: that of the sets' nodes in the graph of links."""
+def set_keys(value: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of each whole set."""
     raw = value.tobytes()
     cuts = (8 * bounds).tolist()
-    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(cuts, cuts[1:])]), "<i8")
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:])]
 
 
 def minima(value: np.ndarray, bounds: np.ndarray, hashes: int, seed: int) -> np.ndarray:
@@ -63,7 +63,7 @@ def minima(value: np.ndarray, bounds: np.ndarray, hashes: int, seed: int) -> np.
 
 
 def signatures(docs: DataFrame, width: int, hashes: int, seed: int, lower: bool = True) -> DataFrame:
-    """One row a document: set size, the set's node, a digest of the text, and the signature."""
+    """One row a document: set size, digests of the set and of the text, and the signature."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,11 +78,11 @@ def signatures(docs: DataFrame, width: int, hashes: int, seed: int, lower: bool
                     [
                         batch.column(0).slice(begin, end - begin),
                         pa.array(np.diff(bounds), pa.int64()),
-                        pa.array(set_nodes(value, bounds)),
+                        pa.array(set_keys(value, bounds), pa.binary()),
                         pa.array(keys, pa.binary()),
                         lists,
                     ],
-                    ["doc_id", "n_shingles", "node", "text_key", "signature"],
+                    ["doc_id", "n_shingles", "set_key", "text_key", "signature"],
                 )
 
     return docs.mapInArrow(scan, SIGNED)
@@ -94,9 +94,9 @@ def _sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
             for _, _, texts in ts.text_steps(batch.column(1)):
                 value, bounds = shingle_sets(texts, width, lower)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value.view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(set_nodes(value, bounds)), lists], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(value, bounds), pa.binary()), lists], ["set_key", "shingles"])
 
-    return docs.mapInArrow(scan, "node long, shingles array<long>")
+    return docs.mapInArrow(scan, "set_key binary, shingles array<long>")
 
 
 def near_duplicates(
@@ -120,7 +120,7 @@ def near_duplicates(
     text_key is the SHA-256 of the text, that of no bytes for null. Other columns are ignored, empty tables give an
     empty table.
 
-    Nodes of the graph are sets, each named by a digest, so equal sets are one node whatever their ids are. A pair at
+    Nodes of the graph are distinct sets, so equal sets are one node whatever their ids are. A pair at
     the threshold shares none of 32 bands of 4 minima with a chance of 5e-8. Below a band key, the smallest member is
     compared with all others; members of keys that then hold more than one component meet in blocks that count exactly.
     No cap, no lost links, and no emission of all pairs of a group.
@@ -130,19 +130,22 @@ def near_duplicates(
     # A key that no batch of the scan can fill by itself: rows are small (about 600 bytes), texts stay where they are.
     signed = Table(signatures(docs, width, bands * rows, seed, lower))
     full = signed.df.filter("doc_id is not null and n_shingles > 0")
-    links = Table(_links(docs, full, width, percent, bands, rows, lower))
+    # Distinct sets are the nodes of the graph, numbered as they are written. An id tells where to find a set's text.
+    least = full.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "signature"), "doc_id").alias("r"), F.count("*").alias("n"))
+    reps = Table(least.select("set_key", "r.doc_id", "r.signature", "n").withColumn("node", F.monotonically_increasing_id()))
+    links = Table(_links(docs, reps.df, width, percent, bands, rows, lower))
     components = Table(connected_components(links.df))
     links.drop()
-    # What a node's component is called: the smallest id of all its documents. Nodes of one row and no link need no row.
-    least = full.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    met = least.join(components.df, "node", "left").filter("component is not null or n > 1")
-    nodes = Table(met.select("node", F.coalesce("component", "node").alias("component"), "low"))
+    # A component is called by the smallest id of all its documents. Sets of one row and no link need no name.
+    met = reps.df.join(components.df, "node", "left").filter("component is not null or n > 1")
+    nodes = Table(met.select("set_key", F.coalesce("component", "node").alias("component"), "doc_id"))
     components.drop()
-    named = nodes.df.join(nodes.df.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id")
-    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node"))
+    reps.drop()
+    named = nodes.df.join(nodes.df.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("set_key", "component_id")
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key"))
     return (
-        signed.df.select("doc_id", "n_shingles", "text_key", own.alias("node"))
-        .join(Table(named).df, "node", "left")
+        signed.df.select("doc_id", "n_shingles", "text_key", own.alias("set_key"))
+        .join(Table(named).df, "set_key", "left")
         .select(
             "doc_id",
             "n_shingles",
@@ -180,12 +183,9 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     return once.select(*docs.columns)
 
 
-def _links(docs, full, width, percent, bands, rows, lower) -> DataFrame:
-    """(a, b) confirmed links that connect the nodes as all links would."""
-    # One row a node. The id tells where to find its text again.
-    reps = full.groupBy("node").agg(F.min_by(F.struct("doc_id", "signature"), "doc_id").alias("r")).select("node", "r.doc_id", "r.signature")
-    reps = Table(reps)
-    keyed = reps.df.select(
+def _links(docs, reps, width, percent, bands, rows, lower) -> DataFrame:
+    """(a, b) confirmed links that connect the nodes of reps as all links would."""
+    keyed = reps.select(
         "node",
         F.explode(
             F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.xxhash64(j, F.slice("signature", j * rows + 1, rows)))
@@ -199,11 +199,10 @@ def _links(docs, full, width, percent, bands, rows, lower) -> DataFrame:
     members = Table(keyed.join(shared.df, "key"))
     shared.drop()
     nodes = members.df.select("node").distinct()
-    seen = Table(reps.df.join(nodes, "node", "left_semi"))
-    reps.drop()
+    seen = Table(reps.join(nodes, "node", "left_semi").select("set_key", "node", "doc_id", "signature"))
     ids = seen.df.select("doc_id").distinct()
     # An id may have other texts besides; of equal sets one is enough.
-    sets = _sets(docs.join(ids, "doc_id", "left_semi"), width, lower).join(seen.df.select("node"), "node", "left_semi")
+    sets = _sets(docs.join(ids, "doc_id", "left_semi"), width, lower).join(seen.df.select("set_key", "node"), "set_key")
     sets = Table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
     # The smallest member of a key is compared with every other one.
     stars = Table(
