@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,6 +19,8 @@ from corpusloom.session import ship
 
 #: Words and transitions that a worker remembers; beyond that it starts anew.
 WORDS_HELD, STEPS_HELD = 250_000, 500_000
+#: No code point below is unassigned, or a mark of which tables differ.
+FIRST_ODD = 0x378
 
 
 def byte_letters() -> list[str]:
@@ -39,28 +42,33 @@ def unknown_letters() -> str:
     return "".join(f"\\U{ord(c):08x}" for c in left) or r"\x00"
 
 
-def odd_letters() -> str:
-    """Code points on whose normal form or case Python and the vocabulary's library may differ, as the inside of a
-    character class: those that Python's Unicode tables do not know, and marks and composed letters that the library
-    does not order or compose as Python does. All others are fixed by the standard."""
+def odd_letters() -> np.ndarray:
+    """Whether Python and the vocabulary's library may differ on the normal form or case of a code point: those that
+    Python's Unicode tables do not know, and marks and composed letters that the library does not order or compose as
+    Python does. All others are fixed by the standard."""
     from tokenizers import normalizers
 
     nfc = normalizers.NFC().normalize_str
-    points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
-    odd = {ord(c) for c in points if unicodedata.category(c) == "Cn"}
-    by_class = {unicodedata.combining(c): c for c in points if unicodedata.combining(c)}
-    for c in points:
+    odd = np.zeros(0x110000, bool)
+    marks = []
+    for point in range(0x80, 0x110000):
+        if 0xD800 <= point < 0xE000:
+            continue
+        c = chr(point)
+        if unicodedata.category(c) == "Cn":
+            odd[point] = True
+            continue
         if unicodedata.combining(c):
-            probes = [t for m in by_class.values() for t in (f"a{m}{c}", f"a{c}{m}")]
-            if any(nfc(t) != unicodedata.normalize("NFC", t) for t in probes):
-                odd.add(ord(c))
-        spelled = unicodedata.normalize("NFD", c)
-        if spelled != c and nfc(spelled) != unicodedata.normalize("NFC", c):
-            odd.update(map(ord, spelled + c))
-    points = sorted(odd)
-    starts = [c for c, before in zip(points, [-1, *points]) if c != before + 1]
-    ends = [c for c, after in zip(points, [*points[1:], -1]) if c != after - 1]
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+            marks.append(c)
+        if unicodedata.decomposition(c):
+            spelled = unicodedata.normalize("NFD", c)
+            if spelled != c and nfc(spelled) != unicodedata.normalize("NFC", c):
+                odd[[ord(x) for x in spelled + c]] = True
+    by_class = {unicodedata.combining(c): c for c in marks}
+    for c in marks:
+        probes = [t for m in by_class.values() for t in (f"a{m}{c}", f"a{c}{m}")]
+        odd[ord(c)] |= any(nfc(t) != unicodedata.normalize("NFC", t) for t in probes)
+    return odd
 
 
 class Automaton:
@@ -121,7 +129,7 @@ class Tokenizer:
         new = unknown_letters()
         known = "(?V1)" + self.SPLIT.format(L=rf"[\p{{L}}--[{new}]]", N=rf"[\p{{N}}--[{new}]]", S=self.SPACE)
         self.split_far, self.far = regex.compile(known), re.compile("[^\x00-\u052f]")
-        self.odd = re.compile(f"[{odd_letters()}]")
+        self.odd = odd_letters()
         model = config["model"]
         vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"]
@@ -139,9 +147,10 @@ class Tokenizer:
         spelled: dict[int, tuple[int, ...]] = {s: (s,) for s in chain(self.inner, self.final)}
         for u, v, w in merges:
             spelled[w] = spelled[u] + spelled[v]
-        # Goto table of the tokens' spellings in symbols: state -> symbol -> state, and the token that ends there.
+        # Table of the tokens' spellings in symbols: state -> symbol -> state; where to go on when there is no such arc;
+        # and the tokens that end there, longest first, as (symbols, token).
         self.goto: list[dict[int, int]] = [{}]
-        self.ends: list[int | None] = [None]
+        own: dict[int, tuple[int, int]] = {}
         for token in sorted(self.automaton.tokens):
             at = 0
             for s in spelled[token]:
@@ -149,9 +158,21 @@ class Tokenizer:
                 if step is None:
                     step = self.goto[at][s] = len(self.goto)
                     self.goto.append({})
-                    self.ends.append(None)
                 at = step
-            self.ends[at] = token
+            own[at] = (len(spelled[token]), token)
+        self.size = {token: len(spelled[token]) for token in self.automaton.tokens}
+        self.fail = [0] * len(self.goto)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.goto)
+        todo = deque([0])
+        while todo:  # breadth first: shorter suffixes are ready
+            at = todo.popleft()
+            for s, step in self.goto[at].items():
+                back = self.fail[at]
+                while at and back and s not in self.goto[back]:
+                    back = self.fail[back]
+                self.fail[step] = self.goto[back].get(s, 0) if at else 0
+                self.ends[step] = ((own[step],) if step in own else ()) + self.ends[self.fail[step]]
+                todo.append(step)
         self.steps: dict[int, int] = {}
         self.words: dict[str, bytes] = {}
 
@@ -174,38 +195,36 @@ class Tokenizer:
         return after
 
     def word(self, word: str) -> bytes:
-        """Ids of one pre-split word as little-endian 32-bit integers: the automaton's one path that spells it."""
+        """Ids of one pre-split word as little-endian 32-bit integers: the automaton's one path that spells it.
+
+        Each prefix has one path too. A prefix's last token is the one token that ends there and has an arc from the
+        state of what is before it.
+        """
         raw = word.encode()
         symbols = [self.inner[b] for b in raw]
         symbols[-1] = self.final[raw[-1]]
-        n = len(symbols)
-        state: list[int] = [-1] * (n + 1)
-        state[0] = Automaton.START
-        back: list[tuple[int, int] | None] = [None] * (n + 1)
-        goto, ends, steps = self.goto, self.ends, self.steps
-        for j in range(n):
-            now = state[j]
-            if now < 0:
-                continue
-            at, i = 0, j
-            while i < n:
-                at = goto[at].get(symbols[i])
-                if at is None:
+        state = [Automaton.START]
+        goto, fail, ends, steps = self.goto, self.fail, self.ends, self.steps
+        at = 0
+        for s in symbols:
+            step = goto[at].get(s)
+            while step is None:
+                at = fail[at]
+                step = goto[at].get(s)
+            at = step
+            for size, token in ends[at]:
+                key = state[-size] << 20 | token
+                after = steps.get(key)
+                if after is None:
+                    after = self.step(state[-size], token)
+                if after >= 0:
+                    state.append(after)
                     break
-                i += 1
-                token = ends[at]
-                if token is not None and state[i] < 0:
-                    after = steps.get(now << 20 | token)
-                    if after is None:
-                        after = self.step(now, token)
-                    if after >= 0:
-                        state[i] = after
-                        back[i] = (j, token)
-        out = []
-        at = n
+        out, at = [], len(symbols)
         while at:
-            at, token = back[at]
+            token = state[at]
             out.append(token)
+            at -= self.size[token]
         return np.array(out[::-1], "<u4").tobytes()
 
     def __missing_word(self, word: str) -> bytes:
@@ -220,7 +239,8 @@ class Tokenizer:
         """The text in composed form and lower case, as the vocabulary's library has them."""
         if text.isascii():
             return text.lower()
-        if self.odd.search(text):
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        if points.max() >= FIRST_ODD and self.odd[points].any():
             from tokenizers import normalizers
 
             return normalizers.Lowercase().normalize_str(normalizers.NFC().normalize_str(text))
