@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,29 +253,47 @@ def learn_terms(texts: list[str], labels: np.ndarray) -> list[tuple[str, bool, f
     """Terms of toxic texts, (text, is_stem, weight): whole words and word starts whose presence speaks for the label
     beyond what chance allows among as many terms, chosen greedily until no more toxic texts are covered."""
     table = _word_table()
-    n_with: dict[tuple[str, bool], int] = defaultdict(int)
-    toxic_with: dict[tuple[str, bool], list[int]] = defaultdict(list)
-    around: dict[tuple[str, bool], set[tuple[str, str]]] = defaultdict(set)
-    for i, (text, label) in enumerate(zip(texts, labels)):
-        words = "".join(c if table[ord(c)] else " " for c in text.lower()).split()
-        place = {w: k for k, w in enumerate(words) if not w.isdigit()}
-        terms = {(w, False): w for w in place if len(w) >= 3}
-        terms |= {(w[:k], True): w for w in place for k in (4, 5, 6) if len(w) >= k}
-        for t, w in terms.items():
-            n_with[t] += 1
-            if label:
-                toxic_with[t].append(i)
-                k = place[w]
-                around[t].add((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
     base = float(np.mean(labels)) if len(labels) else 0.0
     if not 0 < base < 1:
         return []
-    need = math.log(len(n_with) + 1) + 3
+
+    def places(text: str) -> tuple[list[str], dict[str, str]]:
+        """A text's words, and its terms, stems with a star, with a word that each stands for."""
+        words = "".join(c if table[ord(c)] else " " for c in text.lower()).split()
+        distinct = [w for w in dict.fromkeys(words) if not w.isdigit()]
+        terms = {w: w for w in distinct if len(w) >= 3}
+        return words, terms | {w[:k] + "*": w for w in distinct for k in (4, 5, 6) if len(w) >= k}
+
+    # Only terms of toxic texts can be chosen; of the others it is only counted how many there are.
+    toxic, clean = np.flatnonzero(labels).tolist(), np.flatnonzero(labels == 0).tolist()
+    n_toxic = Counter(t for i in toxic for t in places(texts[i])[1])
+    n_clean: Counter[str] = Counter()
+    others = set()
+    for i in clean:
+        for t in places(texts[i])[1]:
+            if t in n_toxic:
+                n_clean[t] += 1
+            else:
+                others.add(hash(t))
+    need = math.log(len(n_toxic) + len(others) + 1) + 3
+    del others
+    # Copies of a text can only lower a term's rate: where it is too low with all of them, no more need be known.
+    open_ = {t for t, k in n_toxic.items() if (k + 0.5) / (n_clean[t] + k + 1) > 0.8}
+    toxic_with: dict[str, list[int]] = defaultdict(list)
+    around: dict[str, set[tuple[str, str]]] = defaultdict(set)
+    for i in toxic:
+        words, terms = places(texts[i])
+        place = {w: k for k, w in enumerate(words)}
+        for t in terms.keys() & open_:
+            toxic_with[t].append(i)
+            k = place[terms[t]]
+            around[t].add((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
     good, rates = {}, {}
-    for t, docs in toxic_with.items():
+    for name in sorted(toxic_with):
+        docs, t = toxic_with[name], (name.rstrip("*"), name.endswith("*"))
         # Copies of one text share the words around a term and count once.
-        k = min(len(docs), len(around[t]))
-        n = n_with[t] - len(docs) + k
+        k = min(len(docs), len(around[name]))
+        n = n_clean[name] + k
         rate = rates[t] = (k + 0.5) / (n + 1)
         if rate > 0.8 and k * math.log(rate / base) + (n - k) * math.log((1 - rate) / (1 - base)) > need:
             good[t] = (set(docs), rate)
@@ -293,7 +311,7 @@ def learn_terms(texts: list[str], labels: np.ndarray) -> list[tuple[str, bool, f
         out += [(*t, good[t][1]) for t in more if not (stems and t[0].startswith(stems))]
         # A stem matches exactly. The words that it stands for match at one edit too, rarer ones on its evidence.
         under = [t for t, rate in rates.items() if not t[1] and len(t[0]) >= FUZZY_LENGTH and rate > 0.8 and t[0] not in have and stems and t[0].startswith(stems)]
-        under.sort(key=lambda t: (-len(toxic_with[t]), t[0]))
+        under.sort(key=lambda t: (-len(toxic_with[t[0]]), t[0]))
         out += [(*t, rates[t]) for t in under]
     return out
 
