@@ -6,16 +6,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.vectors import dimension, takes_part, unit
+from corpusloom.llm.vectors import dimension, matrix, takes_part, unit
 from corpusloom.session import Table, ship
 
-#: Queries that meet a shard in one task.
-QUERY_ROWS = 4_096
+#: Rows of a shard: an eighth of all, between these bounds; the upper one keeps a graph within a worker's memory.
+LEAST_ROWS, MOST_ROWS = 8_192, 65_536
+#: Bytes of the queries that are sent to every executor at once.
+QUERY_BYTES = 32 << 20
 
 
 class Graph:
@@ -160,7 +162,7 @@ def nearest(
     k: int = 5,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    shard_rows: int = 8192,
+    shard_rows: int | None = None,
     width: int = 96,
     block: int = 128,
 ) -> DataFrame:
@@ -171,10 +173,10 @@ def nearest(
     ones count as padded with zeros. A repeated query row gives its result once; repeated candidate rows are one.
     Other columns are ignored; empty tables give an empty table.
 
-    Every row is indexed: shards of about shard_rows rows by a hash of the id, each stored as one row of flat arrays.
-    Equal vectors of a shard are one node that stands for its k + 1 smallest ids, so many copies neither crowd the graph
-    nor a task. Queries are dealt over blocks of about QUERY_ROWS, and a task holds one shard and one block however many
-    queries there are; a shard returns k rows a query, and those are merged.
+    Every row is indexed: shards by a hash of the id, each stored as one row of flat arrays. Equal vectors of a shard
+    are one node that stands for its k + 1 smallest ids, so many copies neither crowd the graph nor a task. Queries are
+    broadcast in blocks of QUERY_BYTES; a block passes over the stored graphs once, each read by one task, and only k
+    rows a query and shard are shuffled to be merged. Neither graphs nor queries are.
     """
     spark = ship(vectors.sparkSession)
 
@@ -188,67 +190,79 @@ def nearest(
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = max(dim, dimension(asked, "v"))
-    shards = max(1, math.ceil(n / shard_rows))
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    shards = max(1, math.ceil(n / (shard_rows or min(MOST_ROWS, max(LEAST_ROWS, n // 8)))))
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
-    def grid(column: pd.Series) -> np.ndarray:
-        out = np.zeros((len(column), dim))
-        for r, v in enumerate(column):
-            out[r, : len(v)] = v
-        return out
-
-    def build(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.drop_duplicates("vec_id").sort_values("vec_id", kind="stable")
-        ids, x = own.vec_id.to_numpy(), unit(grid(own.v))
+    def build(shard: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        ids, first = np.unique(ids, return_index=True)
+        x = unit(x[first])
         _, first, of = np.unique(x.astype(np.float32), axis=0, return_index=True, return_inverse=True)
         by = np.lexsort((ids, of.ravel()))
         start = np.searchsorted(of.ravel()[by], np.arange(len(first) + 1))
         ids, x = ids[by], x[by]
         graph = Graph(x[start[:-1]], width=64, block=block)
-        return pd.DataFrame(
-            {
-                "shard": [own.shard.iloc[0]],
-                "ids": [ids.tobytes()],
-                "x": [x.tobytes()],
-                "start": [start.astype(np.int64).tobytes()],
-                "near": [[level.tobytes() for level in graph.near]],
-                "entry": [graph.entry],
-            }
-        )
-
-    index = Table(
-        sharded.groupBy("shard").applyInPandas(build, "shard long, ids binary, x binary, start binary, near array<binary>, entry long")
-    )
+        blobs = [pa.array([a.tobytes()], pa.large_binary()) for a in (ids, x, start.astype(np.int64))]
+        near = pa.array([[level.tobytes() for level in graph.near]], pa.list_(pa.binary()))
+        columns = [pa.array([shard], pa.int32()), *(a.cast(pa.binary()) for a in blobs), near, pa.array([graph.entry], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["shard", "ids", "x", "start", "near", "entry"])
+
+    def build_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A partition is one shard; should it hold several, they come one after the other.
+        now, ids, xs = None, [], []
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(shard[1:] != shard[:-1]) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if begin == end:
+                    continue
+                if shard[begin] != now:
+                    if ids:
+                        yield build(now, np.concatenate(ids), np.concatenate(xs))
+                    now, ids, xs = int(shard[begin]), [], []
+                ids.append(batch.column(1).slice(begin, end - begin).to_numpy())
+                xs.append(matrix(batch.column(2).slice(begin, end - begin), dim))
+        if ids:
+            yield build(now, np.concatenate(ids), np.concatenate(xs))
 
-    def search(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(ask):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        stored = own.iloc[0]
-        ids, start = np.frombuffer(stored.ids, np.int64), np.frombuffer(stored.start, np.int64)
-        x = np.frombuffer(stored.x).reshape(-1, dim)
-        near_by_level = [np.frombuffer(level, np.int32).reshape(len(start) - 1, -1) for level in stored.near]
-        graph = Graph.of_arrays(x[start[:-1]], near_by_level, int(stored.entry))
+    dealt = sharded.repartitionById(shards, "shard").sortWithinPartitions("shard", "vec_id").select("shard", "vec_id", "v")
+    index = Table(dealt.mapInArrow(build_all, "shard int, ids binary, x binary, start binary, near array<binary>, entry long"))
+
+    def searcher(block_of_queries):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked_ids, asked_x = block_of_queries.value
+            for batch in batches:
+                for stored in batch.to_pylist():
+                    ids, start = np.frombuffer(stored["ids"], np.int64), np.frombuffer(stored["start"], np.int64)
+                    x = np.frombuffer(stored["x"]).reshape(-1, dim)
+                    near_by_level = [np.frombuffer(level, np.int32).reshape(len(start) - 1, -1) for level in stored["near"]]
+                    graph = Graph.of_arrays(x[start[:-1]], near_by_level, stored["entry"])
+                    for at in range(0, len(asked_ids), 256):
+                        yield best_of(graph, ids, start, x, asked_ids[at : at + 256], asked_x[at : at + 256])
+
+        return search
+
+    def best_of(graph: Graph, ids, start, x, queries: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         parts = []
-        for at in range(0, len(ask), 256):
-            some = ask.iloc[at : at + 256]
-            q = unit(grid(some.v))
-            found = graph.search(q, width)
-            for row, (query, nodes) in enumerate(zip(some.vec_id.to_numpy(), found)):
-                nodes = nodes[nodes >= 0]
-                near = np.concatenate([np.arange(start[m], min(start[m + 1], start[m] + k + 1)) for m in nodes[: 4 * k]])
-                near = near[ids[near] != query]
-                score = np.einsum("ij,j->i", x[near], q[row])
-                best = np.lexsort((ids[near], -score))[:k]
-                parts.append((np.full(len(best), query), ids[near][best], score[best]))
-        return pd.DataFrame({name: np.concatenate([p[c] for p in parts]) for c, name in enumerate(("query_id", "vec_id", "score"))})
-
-    def every(of: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
-
-    blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    dealt = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).withColumn("shard", every(shards))
-    copies = index.df.withColumn("part", every(blocks))
-    found = copies.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInPandas(search, schema)
+        for row, (query, nodes) in enumerate(zip(queries, graph.search(q, width))):
+            nodes = nodes[nodes >= 0]
+            near = np.concatenate([np.arange(start[m], min(start[m + 1], start[m] + k + 1)) for m in nodes[: 4 * k]])
+            near = near[ids[near] != query]
+            score = np.einsum("ij,j->i", x[near], q[row])
+            best = np.lexsort((ids[near], -score))[:k]
+            parts.append((np.full(len(best), query), ids[near][best], score[best]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[c] for p in parts])) for c in range(3)], ["query_id", "vec_id", "score"])
+
+    # Queries come to the driver a block at a time; a block's size is bounded whatever their number.
+    blocks = math.ceil(asked.count() * 8 * (dim + 1) / QUERY_BYTES)
+    asked = Table(asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, blocks))))).df
+    found = spark.createDataFrame([], schema)
+    for part in range(blocks):
+        held = asked.filter(F.col("part") == part).select("vec_id", "v").toArrow().combine_chunks()
+        if held.num_rows:
+            q = unit(matrix(held.column("v").chunk(0), dim))
+            sent = spark.sparkContext.broadcast((held.column("vec_id").to_numpy(), q))
+            found = found.union(Table(index.df.mapInArrow(searcher(sent), schema)).df)
+            sent.unpersist()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

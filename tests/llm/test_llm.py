@@ -200,7 +200,7 @@ def test_nearest(spark, monkeypatch):
         hits += len(want & {r.vec_id for r in own})
     assert hits >= 0.9 * 60 and not {r.query_id for r in got} & {200, 201}
     assert hnsw.nearest(df.limit(0), df).count() == 0
-    monkeypatch.setattr(hnsw, "QUERY_ROWS", 4)  # several blocks of queries to a shard
+    monkeypatch.setattr(hnsw, "QUERY_BYTES", 4 * 8 * 17)  # several blocks of queries
     again = hnsw.nearest(df, df.filter("vec_id % 10 = 0"), shard_rows=40).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
