@@ -26,23 +26,37 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or a revisit with none. Line breaks in a URL are escaped."""
-    uri = (url or "urn:page:none").replace("\r", "%0D").replace("\n", "%0A")
-    revisit = refers_to is not None
-    body = b"" if revisit else payload
+def escaped(url: str | None) -> str:
+    """A URL without line breaks; a name of none."""
+    return (url or "urn:page:none").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record_id(page_id: int | None, url: str | None) -> str:
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {escaped(url)}')}"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: tuple[int, str | None] | None) -> bytes:
+    """One WARC/1.1 record: a response with its payload, or a revisit with none of the page (id, URL) it refers to."""
+    body = b"" if refers_to is not None else payload
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri}')}>",
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: <{record_id(page_id, url)}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {uri}",
+        f"WARC-Target-URI: {escaped(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
+        "Content-Type: text/html; charset=utf-8",
         *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
         f"X-Payload-Bytes: {len(payload)}",
     ]
-    if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+    if refers_to is not None:
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: <{record_id(*refers_to)}>",
+            f"WARC-Refers-To-Target-URI: {escaped(refers_to[1])}",
+            "WARC-Refers-To-Date: 1970-01-01T00:00:00Z",
+            f"X-Refers-To-Page-ID: {refers_to[0]}",
+        ]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -117,11 +131,11 @@ def archives(
     first = Table(
         keyed.filter((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull())
         .groupBy("sha")
-        .agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-        .filter("first < last")
+        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last"))
+        .filter("first.page_id < last")
         .select("sha", "first")
     )
-    decided = keyed.join(first.df, "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    decided = keyed.join(first.df, "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first.page_id"), F.col("first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task's number and a count within it: no two archives of one write share a name, whatever ids they hold.
@@ -135,7 +149,7 @@ def archives(
             for at in range(0, batch.num_rows, 64):
                 for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     raw = html.encode()
-                    one = record(page_id, url, raw, payload_digest(raw), refers_to)
+                    one = record(page_id, url, raw, payload_digest(raw), refers_to and (refers_to["page_id"], refers_to["url"]))
                     held.append(one)
                     size += len(one)
                     if size >= ARCHIVE_BYTES:
