@@ -155,8 +155,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     claims words. Rows of one id count as one document. Other columns are ignored; empty tables give an empty table.
 
     The sketch is sized from the number of characters, up to 2**28 cells a row (64 MB in all): beyond that it lets
-    more windows through to the exact groups, and still loses none. Windows are grouped by a 128-bit cryptographic
-    digest of their words.
+    more windows through to the exact groups, and still loses none. Windows are grouped by 128 bits: two
+    64-bit hashes, each of its own half of the 128-bit cryptographic digests of the words.
     """
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -165,23 +165,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = docs.filter("doc_id is not null")
     shared = spark.sparkContext.broadcast(repeated_cells(known, width, bits, max(1, math.ceil(chars / GROUP_CHARS))))
 
-    def found(pieces: ts.Pieces) -> np.ndarray:
-        """Where windows begin that the sketch takes for repeated."""
+    def found(pieces: ts.Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows begin that the sketch takes for repeated, and their first 64 bits."""
         at = pieces.windows(width)
-        return at[_hit(shared.value, pieces.hashes(width, at), bits)]
+        h = pieces.hashes(width, at)
+        hit = _hit(shared.value, h, bits)
+        return at[hit], h[hit]
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for begin, _, texts in ts.text_steps(batch.column(1)):
                 pieces = ts.words(texts)
-                at = found(pieces)
+                at, h = found(pieces)
                 if len(at):
-                    name = pieces.digests(width, at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(ids[begin + pieces.owner[at]], pa.int64())],
-                        ["h", "g", "doc_id"],
-                    )
+                    g = pieces.hashes(width, at, half=1)
+                    owner = ids[begin + pieces.owner[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(owner, pa.int64())], ["h", "g", "doc_id"])
 
     met = known.mapInArrow(candidates, "h long, g long, doc_id long")
     # Pre-aggregated map-side, then an equi-join whose hot passages AQE splits.
@@ -202,8 +202,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     gone = np.zeros(0, bool)
                     if sizes[t]:
                         pieces = ts.words([text])
-                        at = found(pieces)
-                        at = at[np.isin(pieces.digests(width, at)[:, 0], want[bounds[t] : bounds[t + 1]])]
+                        at, h = found(pieces)
+                        at = at[np.isin(h.view(np.int64), want[bounds[t] : bounds[t + 1]])]
                         gone = ts.covered(len(pieces), at, width)
                         removed[t] = gone.sum()
                     if removed[t]:

@@ -119,9 +119,10 @@ class Pieces:
         """Where runs of `width` pieces begin that lie in one text."""
         return np.flatnonzero(self.owner[: max(0, len(self) - width + 1)] == self.owner[width - 1 :])
 
-    def hashes(self, width: int, at: np.ndarray) -> np.ndarray:
-        """64 bits of the windows that begin at `at`; equal windows have equal ones. Halves of a run are mixed in turn."""
-        known = {1: np.frombuffer(self.names, "<u8")[::2].astype(U64)}
+    def hashes(self, width: int, at: np.ndarray, half: int = 0) -> np.ndarray:
+        """64 bits of the windows that begin at `at`, from one half of their pieces' digests; equal windows have equal
+        ones. Halves of a run are mixed in turn. Both halves together are 128 bits, as good as independent ones."""
+        known = {1: np.frombuffer(self.names, "<u8")[half::2].astype(U64)}
         return _run(known, width)[at]
 
     def digests(self, width: int, at: np.ndarray) -> np.ndarray:
