@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,7 +86,7 @@ def _by_group(rows: Iterator[pa.RecordBatch], size: int, add) -> Iterator[pa.Rec
         yield done()
 
 
-def repeated_cells(docs: DataFrame, width: int, bits: int, groups: int) -> list[np.ndarray]:
+def repeated_cells(docs: DataFrame, width: int, bits: int, groups: int, key: int) -> list[np.ndarray]:
     """For each sketch row a bitmap of the cells whose merged count is 2 or more.
 
     Partial sketches are dealt over shards of the cell range and `groups` groups of partitions, and streamed one by one
@@ -98,7 +99,7 @@ def repeated_cells(docs: DataFrame, width: int, bits: int, groups: int) -> list[
         held, n, part = [], 0, TaskContext.get().partitionId()
         for batch in batches:
             for _, _, texts in ts.text_steps(batch.column(0)):
-                pieces = ts.words(texts)
+                pieces = ts.words(texts, key=key)
                 h = pieces.hashes(width, pieces.windows(width))
                 if len(h):
                     held.append(h)
@@ -155,15 +156,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     claims words. Rows of one id count as one document. Other columns are ignored; empty tables give an empty table.
 
     The sketch is sized from the number of characters, up to 2**28 cells a row (64 MB in all): beyond that it lets
-    more windows through to the exact groups, and still loses none. Windows are grouped by 128 bits: two
-    64-bit hashes, each of its own half of the 128-bit cryptographic digests of the words.
+    more windows through to the exact groups, and still loses none. Windows are grouped by 128 bits:
+    two 64-bit hashes, each of its own half of the words' 128-bit names, under a key drawn for the run.
     """
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(chars / 2 + 2))))
     known = docs.filter("doc_id is not null")
-    shared = spark.sparkContext.broadcast(repeated_cells(known, width, bits, max(1, math.ceil(chars / GROUP_CHARS))))
+    key = secrets.randbits(128)  # of this run alone, so that no text can be made to collide; results do not depend on it
+    shared = spark.sparkContext.broadcast(repeated_cells(known, width, bits, max(1, math.ceil(chars / GROUP_CHARS)), key))
 
     def found(pieces: ts.Pieces) -> tuple[np.ndarray, np.ndarray]:
         """Where windows begin that the sketch takes for repeated, and their first 64 bits."""
@@ -176,7 +178,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for begin, _, texts in ts.text_steps(batch.column(1)):
-                pieces = ts.words(texts)
+                pieces = ts.words(texts, key=key)
                 at, h = found(pieces)
                 if len(at):
                     g = pieces.hashes(width, at, half=1)
@@ -201,7 +203,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for t, text in enumerate(texts):
                     gone = np.zeros(0, bool)
                     if sizes[t]:
-                        pieces = ts.words([text])
+                        pieces = ts.words([text], key=key)
                         at, h = found(pieces)
                         at = at[np.isin(h.view(np.int64), want[bounds[t] : bounds[t + 1]])]
                         gone = ts.covered(len(pieces), at, width)

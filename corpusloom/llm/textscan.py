@@ -1,4 +1,4 @@
-"""Word and line scans over Arrow string columns: pieces as byte strings, known by 128-bit cryptographic digests."""
+"""Word and line scans over Arrow string columns: pieces as byte strings, known by 128-bit names."""
 
 from __future__ import annotations
 
@@ -12,10 +12,13 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that one vectorised step handles; bounds the temporary arrays.
 STEP_BYTES = 1 << 19
-#: Digests of short words that a worker remembers; beyond that it starts anew.
-WORDS_HELD, LONGEST_HELD = 1 << 18, 64
-_KEY = b"corpusloom pieces"
+#: Words of more bytes are named by a cryptographic digest.
+LONG_WORD = 64
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: The first n bytes of a little-endian word, n from 0 to 8.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -27,27 +30,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+def mix_other(h: np.ndarray) -> np.ndarray:
+    """Another one, of other shifts and factors."""
+    h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U64(27))) * U64(0x94D049BB133111EB)
+    return h ^ (h >> U64(31))
+
+
 def odd_constants(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit multipliers from a seed."""
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def digest(piece: bytes) -> bytes:
-    """128 bits that name a piece: equal pieces have equal ones, and nobody can make unequal pieces share one."""
-    return hashlib.blake2b(piece, digest_size=16, key=_KEY).digest()
-
-
-class _Digests(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        name = digest(word)
-        if len(word) <= LONGEST_HELD:
-            if len(self) >= WORDS_HELD:
-                self.clear()
-            self[word] = name
-        return name
-
-
-_digests = _Digests()
+def digest(piece: bytes, key: int = 0) -> bytes:
+    """A 128-bit cryptographic digest."""
+    return hashlib.blake2b(piece, digest_size=16, key=key.to_bytes(16, "little")).digest()
 
 
 def text_steps(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -79,16 +76,50 @@ def word_parts(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def words(texts: list[bytes], lower: bool = False) -> Pieces:
-    """Words of texts; lower folds A-Z."""
-    names, counts = [], []
-    for text in texts:
-        count = 0
-        for part in word_parts(text.lower() if lower else text):
-            names.append(b"".join(map(_digests.__getitem__, part)))
-            count += len(part)
-        counts.append(count)
-    return Pieces(b"".join(names), counts)
+def words(texts: list[bytes], lower: bool = False, key: int = 0) -> Pieces:
+    """Words of texts, each named by 128 bits: two hashes of its bytes that share no constants, under a 128-bit key, or a
+    digest if the word is long. lower folds A-Z."""
+    joined = b" ".join(texts)
+    if lower:
+        joined = joined.lower()
+    names, places, at = [], [], 0
+    while at < len(joined):
+        end = at + STEP_BYTES
+        found = _SPACE.search(joined, end) if end < len(joined) else None
+        end = found.start() if found else len(joined)
+        part = joined[at:end]
+        starts, name = _named(part, key)
+        names.append(name.tobytes())
+        places.append(starts + at)
+        at = end
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    owner = np.searchsorted(begins, np.concatenate(places), "right") - 1 if places else np.empty(0, np.int64)
+    return Pieces(b"".join(names), np.bincount(owner, minlength=len(texts)).tolist())
+
+
+def _named(part: bytes, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where the words of a part begin, their names as two columns). Bytes are taken eight at a time: each step mixes
+    the next eight of all words that still have some."""
+    data = np.frombuffer(part, np.uint8)
+    edge = np.diff(~_IS_SPACE[data], prepend=False, append=False)
+    bounds = np.flatnonzero(edge)
+    starts, sizes = bounds[::2], bounds[1::2] - bounds[::2]
+    eight = np.ndarray((len(part),), "<u8", part + b"\0" * 8, strides=(1,))
+    low, high = U64(key & (1 << 64) - 1), U64(key >> 64)
+    h = mix(sizes.astype(U64) * U64(0x9E3779B97F4A7C15) + low)
+    g = mix_other(sizes.astype(U64) * U64(0xD6E8FEB86659FD93) + high)
+    live = np.flatnonzero(sizes <= LONG_WORD)
+    done = 0
+    while len(live):
+        lane = eight[starts[live] + done] & _FIRST[np.minimum(sizes[live] - done, 8)]
+        h[live] = mix(h[live] ^ lane)
+        g[live] = mix_other(g[live] ^ lane * U64(0xA0761D6478BD642F))
+        done += 8
+        live = live[sizes[live] > done]
+    name = np.stack((h, g), axis=1).astype("<u8")
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        name[k] = np.frombuffer(digest(part[starts[k] : starts[k] + sizes[k]], key), "<u8")
+    return starts, name
 
 
 def lines(texts: list[bytes]) -> Pieces:
@@ -102,7 +133,7 @@ def lines(texts: list[bytes]) -> Pieces:
 
 
 class Pieces:
-    """Words or lines of a run of texts: the digest of each, and how many each text has."""
+    """Words or lines of a run of texts: the 128-bit name of each, and how many each text has."""
 
     __slots__ = ("counts", "first", "names", "owner")
 
@@ -120,7 +151,7 @@ class Pieces:
         return np.flatnonzero(self.owner[: max(0, len(self) - width + 1)] == self.owner[width - 1 :])
 
     def hashes(self, width: int, at: np.ndarray, half: int = 0) -> np.ndarray:
-        """64 bits of the windows that begin at `at`, from one half of their pieces' digests; equal windows have equal
+        """64 bits of the windows that begin at `at`, from one half of their pieces' names; equal windows have equal
         ones. Halves of a run are mixed in turn. Both halves together are 128 bits, as good as independent ones."""
         known = {1: np.frombuffer(self.names, "<u8")[half::2].astype(U64)}
         return _run(known, width)[at]
