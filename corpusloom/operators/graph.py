@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,36 +21,140 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "weight").union(edges.select("b", "a", "weight"))
 
 
-def pagerank(edges: DataFrame, rounds: int, alpha: float = 0.85) -> DataFrame:
-    """(node, rank) after `rounds` steps from uniform; weighted, dangling mass spread evenly."""
-    nodes = Table(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+def jaccard_weights(sets: DataFrame) -> DataFrame:
+    """G1: (a, b, weight), a < b, of terms that share documents: shared documents over all documents of either.
+
+    A document's terms are listed once and paired within it, so that pairs are counted before they are shuffled;
+    documents are of bounded length (top-k terms). (doc_id, term) is unique.
+    """
+    lists = sets.groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("w"))
+    after = F.transform("w", lambda a, i: F.struct(a.alias("a"), F.slice("w", i + 2, F.size("w")).alias("rest")))
+    pairs = lists.select(F.explode(after).alias("x")).select("x.a", F.explode("x.rest").alias("b"))
+    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("i"))
+    f = sets.groupBy("term").agg(F.count("*").alias("f"))
+    met = shared.join(f.select(F.col("term").alias("a"), F.col("f").alias("fa")), "a").join(f.select(F.col("term").alias("b"), F.col("f").alias("fb")), "b")
+    return met.select("a", "b", (F.col("i") / (F.col("fa") + F.col("fb") - F.col("i"))).alias("weight"))
+
+
+def threshold_edges(sets: DataFrame, above: float = 0.2) -> DataFrame:
+    """The undirected graph of weights above a bar."""
+    return jaccard_weights(sets).filter(F.col("weight") > above)
+
+
+def entropies(sets: DataFrame, tiny: float = 1e-10) -> DataFrame:
+    """(term, entropy) in nats of a term's indicator over documents, `tiny` added to each cell: a closed form of how
+    many documents have the term and how many there are."""
+    n = sets.agg(F.countDistinct("doc_id").cast("double").alias("d"))  # one row
+    f = sets.groupBy("term").agg(F.count("*").cast("double").alias("f")).crossJoin(F.broadcast(n))
+    total = F.col("f") * (1 + tiny) + (F.col("d") - F.col("f")) * tiny
+    one, none = F.lit(1 + tiny) / F.col("s"), F.lit(tiny) / F.col("s")
+    return f.withColumn("s", total).select("term", (-(F.col("f") * one * F.ln(one) + (F.col("d") - F.col("f")) * none * F.ln(none))).alias("entropy"))
+
+
+def knn_edges(weights: DataFrame, entropy: DataFrame, k: int = 5, least: float = 0.2) -> DataFrame:
+    """(src, dst, weight): each term's k nearest by weight, from the term of higher entropy to the lower, ties
+    alphabetical; an edge met from both ends is one."""
+    order = Window.partitionBy("a").orderBy(F.desc("weight"), "b")
+    near = both_ways(weights.filter(F.col("weight") >= least)).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    met = near.join(entropy.select(F.col("term").alias("a"), F.col("entropy").alias("ea")), "a").join(entropy.select(F.col("term").alias("b"), F.col("entropy").alias("eb")), "b")
+    first = (F.col("ea") > F.col("eb")) | ((F.col("ea") == F.col("eb")) & (F.col("a") < F.col("b")))
+    return met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("dst"), "weight").distinct()
+
+
+def node_attributes(edges: DataFrame) -> DataFrame:
+    """(node, weighted, n_out, n_in) of a directed graph: sum of weights at either end, edges out and in."""
+    ends = edges.select(F.col("src").alias("node"), "weight", F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", "weight", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("weight").alias("weighted"), F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(node, degree, inverse): neighbours, and all other nodes over them."""
+    degree = both_ways(edges).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    n = degree.agg(F.count("*").alias("n"))  # one row
+    return degree.crossJoin(F.broadcast(n)).select("node", "degree", F.round((F.col("n") - 1) / F.col("degree"), 8).alias("inverse"))
+
+
+def common_neighbours(edges: DataFrame) -> DataFrame:
+    """(a, b, n), a < b, of nodes that share neighbours."""
+    sym = both_ways(edges).select("a", "b")
+    x, y = sym.alias("x"), sym.alias("y")
+    return x.join(y, F.expr("x.a = y.a and x.b < y.b")).groupBy(F.col("x.b").alias("a"), F.col("y.b").alias("b")).agg(F.count("*").alias("n"))
+
+
+def pagerank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance: float | None = 1e-8) -> DataFrame:
+    """(node, rank) from uniform; weighted, dangling mass spread evenly. Steps end when the ranks' absolute changes
+    add up to less than tolerance times their number, after `rounds` at the latest; tolerance None takes all rounds."""
+    ends = edges.select(F.col("src").alias("node"), F.col("weight").alias("w")).union(edges.select("dst", F.lit(0.0)))
+    nodes = Table(ends.groupBy("node").agg((F.sum("w") == 0).alias("sink")))
     n = nodes.df.count()
     share = Table(edges.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share"))
-    sinks = Table(nodes.df.join(share.df.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
     ranks = Table(nodes.df.withColumn("p", F.lit(1.0 / max(n, 1))))
+    lost = ranks.df.filter("sink").agg(F.sum("p")).first()[0] or 0.0
     for _ in range(rounds):
-        lost = ranks.df.join(sinks.df, "node", "left_semi").agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
         got = share.df.join(ranks.df, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("share")).alias("i"))
-        after = Table(nodes.df.join(got, "node", "left").select("node", (F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("i", F.lit(0.0))).alias("p")))
+        p = F.lit((1 - alpha + alpha * lost) / max(n, 1)) + alpha * F.coalesce("i", F.lit(0.0))
+        before = ranks.df.select("node", "sink", F.col("p").alias("before"))
+        after = Table(before.join(got, "node", "left").select("node", "sink", p.alias("p"), F.abs(p - F.col("before")).alias("moved")))
+        lost, moved = after.df.agg(F.sum(F.when(F.col("sink"), F.col("p")).otherwise(0.0)), F.sum("moved")).first()
+        lost, moved = lost or 0.0, moved or 0.0
         ranks.drop()
         ranks = after
+        if tolerance is not None and moved < tolerance * n:
+            break
     return ranks.df.select("node", F.round("p", 8).alias("rank"))
 
 
-def hits(edges: DataFrame, rounds: int) -> DataFrame:
-    """(node, authority, hub): weighted, authorities first, each half step scaled to length 1."""
+def hits(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-8) -> DataFrame:
+    """(node, authority, hub): weighted, authorities first, each half step scaled to length 1. Steps end when both
+    vectors move by less than the tolerance, after `rounds` at the latest; tolerance None takes all rounds."""
     nodes = Table(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
-    hub, authority = Table(nodes.df.withColumn("x", F.lit(1.0))), None
+    start = F.lit(1.0)
+    hub, authority = Table(nodes.df.withColumn("x", start)), Table(nodes.df.withColumn("x", start))
 
-    def half(x: DataFrame, come: str, go: str) -> Table:
+    def half(x: DataFrame, before: Table, come: str, go: str) -> tuple[Table, float]:
         raw = Table(edges.join(x, F.col(come) == F.col("node")).groupBy(F.col(go).alias("node")).agg(F.sum(F.col("weight") * F.col("x")).alias("y")))
         z = raw.df.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
-        return Table(nodes.df.join(raw.df, "node", "left").select("node", (F.coalesce("y", F.lit(0.0)) / z).alias("x")))
+        old = before.df.select("node", F.col("x").alias("old"))
+        after = Table(old.join(raw.df, "node", "left").select("node", "old", (F.coalesce("y", F.lit(0.0)) / z).alias("x")))
+        raw.drop()
+        moved = after.df.agg(F.sqrt(F.sum((F.col("x") - F.col("old")) ** 2))).first()[0] or 0.0
+        return after, moved
 
     for _ in range(rounds):
-        authority = half(hub.df, "src", "dst")
-        hub = half(authority.df, "dst", "src")
-    return authority.df.withColumnRenamed("x", "a").join(hub.df, "node").select("node", F.round("a", 8).alias("authority"), F.round("x", 8).alias("hub"))
+        new_authority, by_a = half(hub.df, authority, "src", "dst")
+        new_hub, by_h = half(new_authority.df, hub, "dst", "src")
+        authority.drop()
+        hub.drop()
+        authority, hub = new_authority, new_hub
+        if tolerance is not None and max(by_a, by_h) < tolerance:
+            break
+    a = authority.df.select("node", F.col("x").alias("a"))
+    return a.join(hub.df.select("node", "x"), "node").select("node", F.round("a", 8).alias("authority"), F.round("x", 8).alias("hub"))
+
+
+def top_nodes(scores: DataFrame, k: int = 10) -> DataFrame:
+    """(metric, node, value, rank): the k highest nodes of each metric of a (node, metric...) table, ties by node."""
+    metrics = [c for c in scores.columns if c != "node"]
+    parts = []
+    for c in metrics:
+        best = scores.select(F.lit(c).alias("metric"), "node", F.col(c).cast("double").alias("value")).orderBy(F.desc("value"), "node").limit(k)
+        parts.append(best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), "node"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def degree_and_katz(edges: DataFrame, alpha: float = 0.01, terms: int = 20, labelled: int = 5) -> DataFrame:
+    """(node, degree, katz, label): both measures of each node; the nodes of the highest Katz values are labelled
+    with their names."""
+    degree = both_ways(edges).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    frame = Table(degree.join(katz(edges, alpha, terms), "node"))
+    top = frame.df.orderBy(F.desc("katz"), "node").limit(labelled).select("node", F.col("node").alias("label"))
+    return frame.df.join(F.broadcast(top), "node", "left")
+
+
+def extreme_terms(entropies: DataFrame, k: int = 10) -> DataFrame:
+    """(kind, term, entropy): the k terms of the highest entropy, generic, and of the lowest, specific."""
+    generic = entropies.orderBy(F.desc("entropy"), "term").limit(k).withColumn("kind", F.lit("generic"))
+    return generic.unionByName(entropies.orderBy("entropy", "term").limit(k).withColumn("kind", F.lit("specific"))).select("kind", "term", "entropy")
 
 
 def katz(edges: DataFrame, alpha: float = 0.01, terms: int = 20) -> DataFrame:
@@ -121,16 +226,42 @@ def center_periphery(dist: DataFrame) -> DataFrame:
     return met.select("node", "far", F.when(F.col("far") == F.col("lo"), "center").otherwise("periphery").alias("kind"))
 
 
-def betweenness(dist: DataFrame, normalised: bool = True) -> DataFrame:
-    """Shares of shortest paths through a node over unordered pairs, over (n-1)(n-2)/2 if normalised."""
-    t = Table(dist)
-    nodes = t.df.select(F.col("s").alias("node")).distinct()
-    x, y, z = t.df.filter("d > 0").alias("x"), t.df.filter("d > 0").alias("y"), t.df.alias("z")
-    met = x.join(y, F.expr("x.v = y.s and x.s < y.v")).join(z, F.expr("z.s = x.s and z.v = y.v and z.d = x.d + y.d"))
-    summed = met.groupBy(F.col("x.v").alias("node")).agg(F.sum(F.expr("x.sigma * y.sigma / z.sigma")).alias("b"))
-    n = nodes.count()
-    scale = (n - 1) * (n - 2) / 2 if normalised and n > 2 else 1.0
-    return nodes.join(summed, "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)) / scale, 8).alias("betweenness"))
+def betweenness(edges: DataFrame, normalised: bool = True) -> DataFrame:
+    """Shares of shortest paths through a node over unordered pairs, over (n-1)(n-2)/2 if normalised.
+
+    One search a source, dealt out over tasks that each hold the thresholded graph: distances and numbers of paths
+    outwards, then what each node passes on backwards. Nothing grows with the square of the nodes.
+    """
+    spark = ship(edges.sparkSession)
+    near = _neighbours(edges)
+    shared = spark.sparkContext.broadcast(near)  # LOCAL_EDGES at most
+    nodes = Table(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph, total = shared.value, {}
+        for pdf in batches:
+            for source in pdf.node:
+                far, paths, order = {source: 0}, {source: 1.0}, [source]
+                for u in order:  # grows as it is read: breadth first
+                    for v in graph[u]:
+                        if v not in far:
+                            far[v], paths[v] = far[u] + 1, 0.0
+                            order.append(v)
+                        if far[v] == far[u] + 1:
+                            paths[v] += paths[u]
+                passed = dict.fromkeys(order, 0.0)
+                for v in reversed(order):
+                    for u in graph[v]:
+                        if far[u] == far[v] - 1:
+                            passed[u] += paths[u] / paths[v] * (1 + passed[v])
+                    if v != source:
+                        total[v] = total.get(v, 0.0) + passed[v]
+        yield pd.DataFrame({"node": list(total), "b": list(total.values())}).astype({"node": object, "b": float})
+
+    summed = nodes.df.mapInPandas(search, "node string, b double").groupBy("node").agg(F.sum("b").alias("b"))
+    n = len(near)
+    scale = 2.0 * ((n - 1) * (n - 2) / 2 if normalised and n > 2 else 1.0)  # each pair is met from both ends
+    return nodes.df.join(summed, "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)) / scale, 8).alias("betweenness"))
 
 
 def _local(edges: DataFrame) -> pd.DataFrame:
@@ -139,35 +270,50 @@ def _local(edges: DataFrame) -> pd.DataFrame:
     return edges.select("a", "b", "weight").orderBy("a", "b").toPandas()
 
 
-def residual_closeness(edges: DataFrame, top: int = 10) -> DataFrame:
-    """(node, rcc): sum of 2^-d over ordered pairs left when a node goes, for the top nodes by betweenness;
-    top=0 takes every node. One breadth-first search a node and source, dealt out by removed node."""
-    spark = ship(edges.sparkSession)
+def _neighbours(edges: DataFrame) -> dict[str, list[str]]:
     flat = _local(edges)
     near: dict[str, list[str]] = {}
     for a, b in zip(flat.a, flat.b):
         near.setdefault(a, []).append(b)
         near.setdefault(b, []).append(a)
+    return near
+
+
+def residual_closeness(edges: DataFrame, top: int = 10) -> DataFrame:
+    """(node, rcc): sum of 2^-d over ordered pairs left when a node goes, for the top nodes by betweenness;
+    top=0 takes every node. Dealt out by removed node; a task searches from all sources at once, a set of sources
+    being the bits of one number."""
+    spark = ship(edges.sparkSession)
+    near = _neighbours(edges)
+    names = sorted(near)
+    place = {v: i for i, v in enumerate(names)}
+    shared = spark.sparkContext.broadcast((place, [[place[u] for u in near[v]] for v in names]))  # LOCAL_EDGES at most
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     if top:
-        nodes = betweenness(distances(edges)).orderBy(F.desc("betweenness"), "node").limit(top).select("node")
-    shared = spark.sparkContext.broadcast(near)  # LOCAL_EDGES at most
+        nodes = betweenness(edges).orderBy(F.desc("betweenness"), "node").limit(top).select("node")
+    # Few rows of much work each: dealt out one by one.
+    nodes = Table(nodes).df.repartition(min(len(names), 4 * spark.sparkContext.defaultParallelism), "node")
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = shared.value
+        place, graph = shared.value
         for pdf in batches:
             out = []
-            for gone in pdf.node:
-                total = 0.0
-                for source in graph:
-                    if source == gone:
-                        continue
-                    seen, front, d = {source, gone}, [source], 0
-                    while front:
-                        d += 1
-                        front = list(dict.fromkeys(v for u in front for v in graph[u] if v not in seen))
-                        seen.update(front)
-                        total += len(front) * 2.0**-d
+            for gone in map(place.__getitem__, pdf.node):
+                front = [0 if v == gone else 1 << v for v in range(len(graph))]
+                seen, total, d = list(front), 0.0, 0
+                while any(front):
+                    d += 1
+                    after = []
+                    for v, around in enumerate(graph):
+                        met = 0
+                        if v != gone:
+                            for u in around:
+                                met |= front[u]
+                            met &= ~seen[v]
+                            seen[v] |= met
+                        after.append(met)
+                    total += sum(map(int.bit_count, after)) * 2.0**-d
+                    front = after
                 out.append(round(total, 6))
             yield pdf.assign(rcc=out)
 

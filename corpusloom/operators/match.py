@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import Table, ship
 
 
-def best_matches(left: DataFrame, right: DataFrame, least: float = 0.6, prefix: int = 1, chunk_rows: int = 4096) -> DataFrame:
+def best_matches(left: DataFrame, right: DataFrame, least: float = 0.6, prefix: int = 0, chunk_rows: int = 4096) -> DataFrame:
     """(a, b, score) for each left name: the right name of the highest ratio, ties to the larger name; the score is
     the ratio with its arguments in query order. Names without a match of `least` give no row. Only names of equal
     prefix meet, with prefix=0 all do; a common prefix is dealt out over pairs of chunks of left and right names, and

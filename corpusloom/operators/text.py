@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.session import Table
+
 # The NLTK English stop words, and the domain words that the reference adds.
 STOPWORDS = (
     "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his "
@@ -37,9 +39,9 @@ def raw_tokens(text: Column) -> Column:
 
 def extract_tokens(text: Column, extra: Sequence[str] = DOMAIN_WORDS) -> Column:
     """Alphabetic tokens of three letters or more that are no stop words; null text gives an empty array."""
-    stop = F.array(*[F.lit(w) for w in (*STOPWORDS, *extra)])
-    kept = F.filter(raw_tokens(text), lambda w: w.rlike(rf"^\p{{L}}{{{MIN_WORD_LENGTH},}}$"))
-    return F.coalesce(F.filter(kept, lambda w: ~F.array_contains(stop, w)), F.array().cast("array<string>"))
+    word = rf"^\p{{L}}{{{MIN_WORD_LENGTH},}}$"
+    kept = F.filter(raw_tokens(text), lambda w: ~w.isin(*STOPWORDS, *extra) & w.rlike(word))
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def word_tokens(text: Column) -> Column:
@@ -53,6 +55,30 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens).alias("pos", "term"))
 
 
+def token_modes(docs: DataFrame, lexicon: DataFrame | None = None, first: int | None = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pos, term, stem, lemma): the first tokens of each document as they are, as stems and as lemmas.
+
+    Stems and lemmas are taken of the distinct words only. A lemma has to be in the lexicon (term), by default the
+    words themselves; first=None takes all tokens.
+    """
+    from corpusloom.functions.stem import lemmas, stems
+
+    tokens = extract_tokens(F.col(text_col))
+    shown = tokens if first is None else F.slice(tokens, 1, first)
+    rows = token_rows(docs, id_col, text_col, shown)
+    words = Table(token_rows(docs, id_col, text_col).select("term").distinct()).df
+    return rows.join(stems(words), "term").join(lemmas(words, words if lexicon is None else lexicon), "term").select("doc_id", "pos", "term", "stem", "lemma")
+
+
+def outcome_counts(filtered: DataFrame, examples: int = 3) -> DataFrame:
+    """(missing, empty, ok, examples): outcomes of window_filter, and the first documents without targets."""
+    text = F.col("filtered")
+    missing = text == "MISSING_KEY"
+    counts = filtered.agg(F.count_if(missing).alias("missing"), F.count_if(text == "").alias("empty"), F.count_if(~missing & (text != "")).alias("ok"))
+    shown = filtered.filter(missing).select("doc_id").orderBy("doc_id").limit(examples).agg(F.array_sort(F.collect_list("doc_id")).alias("examples"))
+    return counts.crossJoin(shown)  # one row each
+
+
 def previous_words(docs: DataFrame, pivot: str, stop: Sequence[str] = KWIC_STOPWORDS, k: int = 15) -> DataFrame:
     """Words right before the pivot, without stop words, most frequent first."""
     words = word_tokens(F.col("text"))
@@ -87,21 +113,34 @@ def ngrams_after(docs: DataFrame, trigger: Sequence[str], n: int = 6, k: int = 2
     )
 
 
-def window_filter(docs: DataFrame, targets: DataFrame, window: int = 5) -> DataFrame:
-    """Words within `window` of any target of the document, gaps shown as "..."; targets is (doc_id, stem).
+def written_tokens(text: Column) -> Column:
+    """Words and signs of a text as they are written; a word keeps its inner hyphens, dots and apostrophes."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+(?:[-'’.][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\x09-\x0D\x20]"), F.lit(0))
+
+
+def window_filter(docs: DataFrame, targets: DataFrame, window: int = 5, stemmed: bool = True) -> DataFrame:
+    """(doc_id, filtered): words within `window` of any word whose stem is a target of the document, gaps shown as
+    "..."; targets is (doc_id, stem), or whole words in lower case if not stemmed.
 
-    Documents without targets give MISSING_KEY, documents without a hit the empty string.
+    Documents without targets give MISSING_KEY, those without a hit the empty string. Stems are taken of the distinct
+    words only, and words meet their document's targets by an equi-join.
     """
-    words = docs.select("doc_id", F.split(F.lower(F.trim("text")), r"\s+").alias("w"))
-    keys = targets.groupBy("doc_id").agg(F.collect_set("stem").alias("keys"))
-    met = words.join(keys, "doc_id", "left")
-    hits = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains("keys", F.element_at("w", i + 1)))
-    near = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(i - window, F.lit(0)), F.least(i + window, F.size("w") - 1))))))
-    at = met.select("doc_id", "w", "keys", near.alias("near"))
-    shown = F.array_join(
-        F.transform("near", lambda p, k: F.concat(
-            F.when((k > 0) & (F.element_at("near", F.greatest(k, F.lit(1))) < p - 1), F.lit("... ")).otherwise(""), F.element_at("w", p + 1))), " ")
-    return at.select("doc_id", F.when(F.col("keys").isNull(), "MISSING_KEY").otherwise(F.coalesce(shown, F.lit(""))).alias("filtered"))
+    from corpusloom.functions.stem import stems
+
+    words = docs.select("doc_id", F.coalesce(written_tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    at = words.select("doc_id", F.posexplode("w").alias("pos", "word")).select("doc_id", "pos", F.lower("word").alias("term"))
+    if stemmed:
+        at = at.join(stems(at.select("term").distinct()), "term").withColumnRenamed("stem", "key")
+    else:
+        at = at.withColumnRenamed("term", "key")
+    keys = targets.select("doc_id", F.col("stem").alias("key")).distinct()
+    hits = at.join(keys, ["doc_id", "key"], "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("hits"))
+    met = words.join(hits, "doc_id", "left").join(keys.select("doc_id").distinct().withColumn("known", F.lit(True)), "doc_id", "left")
+    spans = F.transform(F.coalesce("hits", F.array().cast("array<int>")), lambda i: F.sequence(F.greatest(i - window, F.lit(0)), F.least(i + window, F.size("w") - 1)))
+    near = met.select("doc_id", "w", "known", F.array_sort(F.array_distinct(F.flatten(spans))).alias("near"))
+    gap = lambda p, k: F.when((k > 0) & (F.element_at("near", F.greatest(k, F.lit(1))) < p - 1), "... ").otherwise("")
+    shown = F.array_join(F.transform("near", lambda p, k: F.concat(gap(p, k), F.element_at("w", p + 1))), " ")
+    return near.select("doc_id", F.when(F.col("known").isNull(), "MISSING_KEY").otherwise(shown).alias("filtered"))
 
 
 def punctuation_space(text: Column) -> Column:
@@ -132,7 +171,9 @@ def rewrite_merged(docs: DataFrame, fixes: DataFrame) -> DataFrame:
 
     The text is cut into words and what stands between; only words are looked up, by one join over distinct words.
     """
-    pieces = F.regexp_extract_all("text", F.lit(r"[a-zA-Z]+(?:-[a-zA-Z]+)*|[^a-zA-Z]+|."), F.lit(0))
+    # A word ends where no letter, digit or underscore of any script follows; other runs of them are left alone.
+    word = r"(?<![\p{L}\p{N}_])[a-zA-Z]+(?:-[a-zA-Z]+)*(?![\p{L}\p{N}_])"
+    pieces = F.regexp_extract_all("text", F.lit(word + r"|[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
     rows = docs.select("doc_id", F.posexplode_outer(pieces).alias("pos", "word"))
     met = rows.join(fixes.filter("changed").select("word", "fixed"), "word", "left")
     return met.groupBy("doc_id").agg(

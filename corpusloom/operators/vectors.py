@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.session import Table
+
 
 def term_counts(tokens: DataFrame) -> DataFrame:
     """M1: (doc_id, term, tf)."""
     return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def kept_terms(tf: DataFrame, n_docs: int, low: float = 0.02, high: float = 0.75) -> DataFrame:
+    """M2: (term, df) of terms with low * N <= df <= high * N; N counts all documents, empty ones too."""
+    return tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df").between(F.lit(low * n_docs), F.lit(high * n_docs)))
+
+
 def df_filter(tf: DataFrame, n_docs: int, low: float = 0.02, high: float = 0.75) -> DataFrame:
-    """M2: rows of terms with low * N <= df <= high * N; N counts all documents, empty ones too."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df").between(F.lit(low * n_docs), F.lit(high * n_docs)))
-    return tf.join(df, "term")
+    """M2: rows of the terms that kept_terms keeps, with their document frequency."""
+    return tf.join(kept_terms(tf, n_docs, low, high), "term")
 
 
 def tfidf(kept: DataFrame, n_docs: int) -> DataFrame:
@@ -30,10 +38,65 @@ def top_k(weights: DataFrame, k: int = 100) -> DataFrame:
     return weights.filter("tfidf > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def sparsity(kept: DataFrame, n_docs: int) -> DataFrame:
+    """M3: the share of empty cells of the matrix in percent; null without terms."""
+    shape = kept.agg(F.count("*").alias("nnz"), F.countDistinct("term").alias("terms"))
+    return shape.select((100 * (1 - F.try_divide(F.col("nnz"), F.col("terms") * F.lit(float(n_docs))))).alias("sparsity"))
+
+
+def threshold_sweep(tf: DataFrame, n_docs: int, lows: Sequence[float] = (0, 0.01, 0.02, 0.03, 0.04, 0.05), high: float = 0.75) -> DataFrame:
+    """M4: (threshold in percent, sparsity, words) for each lower bound: one aggregate over the terms, no join."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") <= F.lit(high * n_docs))
+    sums = [f(F.when(F.col("df") >= F.lit(low * n_docs), F.col("df"))).alias(f"{n}{k}") for k, low in enumerate(lows) for n, f in (("s", F.sum), ("w", F.count))]
+    each = F.array(*[F.struct(F.lit(100.0 * low).alias("threshold"), F.col(f"s{k}").alias("s"), F.col(f"w{k}").alias("words")) for k, low in enumerate(lows)])
+    rows = df.agg(*sums).select(F.explode(each).alias("x")).select("x.*")
+    return rows.select("threshold", (100 * (1 - F.try_divide(F.col("s"), F.col("words") * F.lit(float(n_docs))))).alias("sparsity"), "words")
+
+
+def df_elbow(tf: DataFrame, n_docs: int) -> DataFrame:
+    """M4: (place, term, pct): all terms by the share of documents that have them, places from 1, ties by term."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    return places(df, F.desc("df"), F.col("term")).select("place", "term", (F.col("df") * 100 / F.lit(float(n_docs))).alias("pct"))
+
+
+def places(df: DataFrame, *order: Column) -> DataFrame:
+    """df with a column `place` from 1 in the order, which has to be total: a range sort, then an offset for each of its
+    partitions, so that no task sees all rows."""
+    sorted_ = Table(df.orderBy(*order).withColumn("part", F.spark_partition_id())).df
+    sizes = sorted_.groupBy("part").agg(F.count("*").alias("rows"))  # a row a partition
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("part", before.alias("before"))
+    local = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return sorted_.withColumn("local", local).join(F.broadcast(offsets), "part").withColumn("place", F.col("before") + F.col("local")).drop("part", "local", "before")
+
+
+def vocabulary_change(tf: DataFrame, n_docs: int, low: float = 0.02, high: float = 0.85) -> DataFrame:
+    """M4: (n_before, n_after): terms before and after the filter."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    inside = F.col("df").between(F.lit(low * n_docs), F.lit(high * n_docs))
+    return df.agg(F.count("*").alias("n_before"), F.count_if(inside).alias("n_after"))
+
+
+def binarised(weights: DataFrame, above: float = 0.0, value: str = "tfidf") -> DataFrame:
+    """M7: (doc_id, term) of the cells above a threshold."""
+    return weights.filter(F.col(value) > above).select("doc_id", "term")
+
+
+def aligned_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """M8: (term, left_n, right_n) over the union of two vocabularies (term, n), 0 where a side lacks the term."""
+    a, b = left.select("term", F.col("n").alias("left_n")), right.select("term", F.col("n").alias("right_n"))
+    return a.join(b, "term", "full").fillna(0, ["left_n", "right_n"])
+
+
+def unit_weights(weights: DataFrame, value: str = "tfidf") -> DataFrame:
+    """(doc_id, term, u): weights over their document's length; documents of length 0 have no row."""
+    norm = F.sqrt(F.sum(F.col(value) * F.col(value)).over(Window.partitionBy("doc_id")))
+    return weights.withColumn("norm", norm).filter("norm > 0").select("doc_id", "term", (F.col(value) / F.col("norm")).alias("u"))
+
+
 def cosine_pairs(weights: DataFrame, value: str = "tfidf") -> DataFrame:
-    """M9: (a, b, score), a < b, of documents that share a term, by an inverted-index join."""
-    norm = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm"))
-    unit = weights.join(norm, "doc_id").filter("norm > 0").select("doc_id", "term", (F.col(value) / F.col("norm")).alias("u"))
+    """M9: (a, b, score), a < b, of documents that share a term, by an inverted-index join; all others score 0."""
+    unit = unit_weights(weights, value)
     x, y = unit.alias("x"), unit.alias("y")
     return (
         x.join(y, F.expr("x.term = y.term and x.doc_id < y.doc_id"))
@@ -41,11 +104,84 @@ def cosine_pairs(weights: DataFrame, value: str = "tfidf") -> DataFrame:
     )
 
 
-def describe(scores: DataFrame, column: str = "score") -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of a column, in one row."""
+def matched_cosine(weights: DataFrame, mapping: DataFrame, value: str = "tfidf") -> DataFrame:
+    """(a, b, cosine) of the mapping's pairs whose documents both have weights; 0 without a common term."""
+    have = weights.select("doc_id").distinct()
+    pairs = mapping.select("a", "b").join(have.select(F.col("doc_id").alias("a")), "a", "left_semi").join(have.select(F.col("doc_id").alias("b")), "b", "left_semi")
+    unit = unit_weights(weights, value)
+    x = unit.select(F.col("doc_id").alias("a"), "term", F.col("u").alias("x"))
+    y = unit.select(F.col("doc_id").alias("b"), "term", F.col("u").alias("y"))
+    sums = pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+    return pairs.join(sums, ["a", "b"], "left").select("a", "b", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+
+
+def matched_dense(vectors: DataFrame, mapping: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(a, b, cosine) of the mapping's pairs that both have a vector; 0 if one of them is zero."""
+    v = F.col(vector_col).cast("array<double>")
+    x, y = vectors.select(F.col(id_col).alias("a"), v.alias("x")), vectors.select(F.col(id_col).alias("b"), v.alias("y"))
+
+    def dot(p: str, q: str) -> Column:
+        return F.aggregate(F.zip_with(p, q, lambda i, j: i * j), F.lit(0.0), lambda s, i: s + i)
+
+    cosine = F.try_divide(dot("x", "y"), F.sqrt(dot("x", "x") * dot("y", "y")))
+    return mapping.select("a", "b").join(x, "a").join(y, "b").select("a", "b", F.coalesce(cosine, F.lit(0.0)).alias("cosine"))
+
+
+def matched_jaccard(sets: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(a, b, i, u, score) of the mapping's pairs that both have a row of terms (doc_id, term): shared terms, all
+    terms, and their ratio, 0 for an empty union."""
+    own = sets.select("doc_id", "term").distinct()
+    sizes = own.groupBy("doc_id").agg(F.count("term").alias("n"))
+    pairs = mapping.select("a", "b").join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a")
+    pairs = pairs.join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
+    x, y = own.select(F.col("doc_id").alias("a"), "term"), own.select(F.col("doc_id").alias("b"), "term")
+    shared = pairs.select("a", "b").join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.count("*").alias("i"))
+    i = F.coalesce("i", F.lit(0))
+    out = pairs.join(shared, ["a", "b"], "left").select("a", "b", i.alias("i"), (F.col("na") + F.col("nb") - i).alias("u"))
+    return out.withColumn("score", F.when(F.col("u") > 0, F.col("i") / F.col("u")).otherwise(0.0))
+
+
+def triangle(pairs: DataFrame, n_docs: int) -> DataFrame:
+    """(score, times): the scores of all n * (n - 1) / 2 pairs, those that `pairs` lacks as one row of score 0."""
+    rest = pairs.agg((F.lit(n_docs * (n_docs - 1) // 2) - F.count("*")).alias("times")).filter("times > 0")
+    return pairs.select("score", F.lit(1).cast("long").alias("times")).unionByName(rest.select(F.lit(0.0).alias("score"), "times"))
+
+
+def method_stats(scores: DataFrame) -> DataFrame:
+    """(method, mean, median, high, low, winner, verdict) of a (method, score, times) table, one row a method; the
+    winner has the highest mean, ties to the smaller name."""
+    s, times = F.col("score"), F.col("times")
+    mean = F.sum(s * times) / F.sum(times)
+    median = F.percentile(s, F.lit(0.5), times)
+    stats = scores.groupBy("method").agg(mean.alias("mean"), median.alias("median"), F.max(s).alias("high"), F.min(s).alias("low"))
+    first = stats.agg(F.max(F.struct("mean", "method"))["mean"].alias("best"))  # one row
+    winner = stats.crossJoin(F.broadcast(first)).filter("mean = best").agg(F.min("method").alias("first"))
+    verdict = F.when(F.col("first").contains("embedding"), "embeddings score highest: texts agree in meaning").otherwise(
+        "a vocabulary method scores highest: texts repeat words"
+    )
+    out = stats.crossJoin(F.broadcast(winner))
+    return out.select("method", "mean", "median", "high", "low", (F.col("method") == F.col("first")).alias("winner"), verdict.alias("verdict"))
+
+
+def score_reports(scores: DataFrame, low: float = 0.4, high: float = 0.7, column: str = "score") -> DataFrame:
+    """Rows below `low` and above `high`, with their band and their place in it: lowest first, highest first."""
+    c = F.col(column)
+    bands = scores.withColumn("band", F.when(c < low, "low").when(c > high, "high")).filter("band is not null")
+    return bands.withColumn("order", F.when(F.col("band") == "low", c).otherwise(-c)).orderBy("band", "order").drop("order")
+
+
+def five_numbers(scores: DataFrame, column: str, *by: str) -> DataFrame:
+    """Least, quartiles and greatest of each group of a (column, times) table."""
+    c = F.col(column)
+    quartiles = [F.percentile(c, F.lit(p), F.col("times")).alias(n) for p, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]
+    return scores.groupBy(*by).agg(F.min(c).alias("low"), *quartiles, F.max(c).alias("high"))
+
+
+def describe(scores: DataFrame, column: str = "score", *by: str) -> DataFrame:
+    """Count, mean, sample deviation, extremes and exact quartiles of a column, in one row for each group."""
     c = F.col(column)
     quartile = [F.percentile(c, F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
-    return scores.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), *quartile, F.max(c).alias("high"))
+    return scores.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), *quartile, F.max(c).alias("high"))
 
 
 def histogram(scores: DataFrame, column: str = "score", bins: int = 20) -> DataFrame:

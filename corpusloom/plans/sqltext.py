@@ -40,10 +40,10 @@ def _view(spark: SparkSession, sf_dir: str, base: str) -> str:
     return view
 
 
-#: Term weights of English documents: counts, document-frequency filter, TF-IDF, top 100.
+#: Term weights of all documents: counts, document-frequency filter, TF-IDF, top 100.
 WEIGHTS = """
-n AS (SELECT count(*) AS n FROM @documents WHERE lang = 'en'),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE lang = 'en' GROUP BY doc_id, term),
+n AS (SELECT count(*) AS n FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term),
 dfreq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 kept_terms AS (SELECT term, df FROM dfreq CROSS JOIN n WHERE df >= CAST(0.02 AS DOUBLE) * n AND df <= CAST(0.75 AS DOUBLE) * n),
 kept AS (SELECT tf.doc_id, tf.term, tf.tf, k.df, sum(tf.tf) OVER (PARTITION BY tf.doc_id) AS total FROM tf JOIN kept_terms k ON k.term = tf.term),

@@ -74,15 +74,21 @@ def _no_leftovers(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(_CLEANUP, _before[0])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path of our own in the shared folder that goes with the process."""
+    path = f"{shared_folder(spark)}/corpusloom-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_sweep)
+    _written.append((spark, path))
+    return path
+
+
 class Table:
     """A DataFrame written as Parquet to the shared folder: a short lineage that outlives lost executors."""
 
     def __init__(self, df: DataFrame) -> None:
         self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/corpusloom-{uuid.uuid4().hex}"
-        if not _written:
-            atexit.register(_sweep)
-        _written.append((self.spark, self.path))
+        self.path = scratch(self.spark)
         # Once the rows are written nobody reads the shuffle files that led to them.
         with _no_leftovers(self.spark):
             df.write.parquet(self.path)

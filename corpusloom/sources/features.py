@@ -11,6 +11,50 @@ FEATURES = "info struct<n_docs:bigint>, tokens map<string,array<string>>, region
 NODES = "score_nodes array<struct<title:string,path:string,rank_display:string,region:string,country:string>>"
 
 
+NULL_TEXT = "\\N"
+#: The corpora by mode, as (features, descriptions) paths below a data folder.
+MODES = {
+    "qs": ("JSON/features_qs.json", "PARQUET/corpus_qs.parquet"),
+    "the": ("JSON/features_the.json", "PARQUET/corpus_the.parquet"),
+    "the_2012": ("JSON/features_the_2012.json", "PARQUET/corpus_the_2012.parquet"),
+    "the_2021": ("JSON/features_the_2021.json", "PARQUET/corpus_the_2021.parquet"),
+}
+
+
+def mode_paths(mode: str, root: str, modes: dict[str, tuple[str, str]] = MODES) -> tuple[str, str]:
+    """The paths of a mode; an unknown one is an error that names the known ones."""
+    if mode not in modes:
+        raise ValueError(f"unknown mode {mode!r}: one of {', '.join(sorted(modes))}")
+    features, corpus = modes[mode]
+    return f"{root}/{features}", f"{root}/{corpus}"
+
+
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
+    """The first of the paths that exists."""
+    have = existing(spark, paths)
+    if not have:
+        raise FileNotFoundError(f"none of {', '.join(paths)} exists")
+    return have[0]
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """O1: CSV files with a header, as read_csv expects them: quotes doubled, blanks and line feeds kept, an empty string
+    in quotes and a null as NULL_TEXT."""
+    out = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    out.option("nullValue", NULL_TEXT).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_parquet(df: DataFrame, path: str, *by: str) -> None:
+    """O2: Parquet files, in folders by the values of the columns `by` if given."""
+    out = df.write.mode("overwrite")
+    (out.partitionBy(*by) if by else out).parquet(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """O3: JSON lines, letters of all scripts as they are."""
+    df.write.mode("overwrite").json(path)
+
+
 def features_json(top: DataFrame, docs: DataFrame) -> DataFrame:
     """O3: one (doc_id, json) a document: its terms in order, region and rank."""
     terms = top.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("tokens"))
@@ -27,16 +71,17 @@ def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return tokens, regions.join(ranks, "name", "full_outer")
 
 
-def read_score_nodes(spark: SparkSession, paths: Sequence[str], base: str) -> DataFrame:
-    """S3: one row a node of saved API pages, relative paths made absolute."""
-    raw = spark.read.schema(NODES).json(list(paths), multiLine=True)
+def read_score_nodes(spark: SparkSession, paths: Sequence[str], base: str, lines: bool = False) -> DataFrame:
+    """S3: one row a node of saved API pages, relative paths made absolute; a page a file, or a line of one."""
+    raw = spark.read.schema(NODES).json(list(paths), multiLine=not lines)
     node = raw.select(F.explode("score_nodes").alias("n")).select("n.*")
     url = F.when(F.col("path").startswith("/"), F.concat(F.lit(base), F.col("path"))).otherwise(F.col("path"))
     return node.select("title", url.alias("url"), F.col("rank_display").alias("rank"), "region", "country")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
+    """Rows of a CSV file with a header; a blank field and NULL_TEXT are null, an empty string in quotes is one."""
+    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', nullValue=NULL_TEXT)
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:

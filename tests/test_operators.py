@@ -51,10 +51,14 @@ def test_rewrite_merged(spark):
 
 
 def test_window_filter(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n key o p"), (2, "x y")], "doc_id long, text string")
-    targets = spark.createDataFrame([(1, "key"), (1, "a")], "doc_id long, stem string")
+    docs = spark.createDataFrame([(1, "A b c d e f g h i j k l m Studying, key's o p"), (2, "x y"), (3, "x y"), (4, None)], "doc_id long, text string")
+    targets = spark.createDataFrame([(1, "studi"), (1, "a"), (3, "z"), (4, "z")], "doc_id long, stem string")
     got = {r.doc_id: r.filtered for r in text.window_filter(docs, targets, 2).collect()}
-    assert got == {1: "a b c ... m n key o p", 2: "MISSING_KEY"}
+    assert got == {1: "A b c ... l m Studying , key's", 2: "MISSING_KEY", 3: "", 4: ""}
+    whole = {r.doc_id: r.filtered for r in text.window_filter(docs, targets, 2, stemmed=False).collect()}
+    assert whole[1] == "A b c"
+    counts = text.outcome_counts(text.window_filter(docs, targets, 2)).first()
+    assert (counts.missing, counts.empty, counts.ok, counts.examples) == (1, 2, 1, [2])
 
 
 def test_tfidf(spark):
@@ -72,7 +76,7 @@ def test_graph(spark):
     big = graph.giant(edges)
     dist = graph.distances(big)
     assert {(r.s, r.v): r.d for r in dist.collect()}["a", "d"] == 3
-    assert {r.node: r.betweenness for r in graph.betweenness(dist).collect()} == {"a": 0, "b": pytest.approx(2 / 3), "c": pytest.approx(2 / 3), "d": 0}
+    assert {r.node: r.betweenness for r in graph.betweenness(big).collect()} == {"a": 0, "b": pytest.approx(2 / 3), "c": pytest.approx(2 / 3), "d": 0}
     assert {r.node: r.rcc for r in graph.residual_closeness(big, top=0).collect()}["b"] == pytest.approx(1.0)
     assert {(r.a, r.b) for r in graph.gexf_rows(edges).collect()} == {(a, b) for a, b, _ in EDGES}
 
@@ -80,6 +84,8 @@ def test_graph(spark):
 def test_pagerank_sums_to_one(spark):
     edges = spark.createDataFrame(EDGES, "src string, dst string, weight double")
     assert sum(r.rank for r in graph.pagerank(edges, 20).collect()) == pytest.approx(1, abs=1e-6)
+    converged = {r.node: r.rank for r in graph.pagerank(edges).collect()}
+    assert converged == pytest.approx({r.node: r.rank for r in graph.pagerank(edges, 60, tolerance=None).collect()}, abs=1e-6)
     hub = graph.hits(edges, 10).collect()
     assert sum(r.hub**2 for r in hub) == pytest.approx(1, abs=1e-6)
 
@@ -121,7 +127,7 @@ def test_fuzzy_best_meets_every_pair(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want + [w for w in want if w[0] in left[:2]])
 
 
-def test_split_words_whole_takes_long_words(spark, tmp_path):
+def test_split_words_takes_long_words(spark, tmp_path):
     import re
 
     from corpusloom.plans import registry
@@ -135,4 +141,4 @@ def test_split_words_whole_takes_long_words(spark, tmp_path):
         cut = next((i for i in range(2, len(w) - 2) if w[:i] in words and w[i:] in words), None)
         want += [(w, f"{w[:cut]} {w[cut:]}")] if cut else []
     assert max(len(w) for w, _ in want) > 20 and len(want) == 3
-    assert sorted(map(tuple, registry.QUERIES["split_words_whole"](spark, str(tmp_path)).collect())) == sorted(want)
+    assert sorted(map(tuple, registry.QUERIES["split_words"](spark, str(tmp_path)).collect())) == sorted(want)

@@ -7,7 +7,10 @@ import __spark_entry__
 from corpusloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["clean_mask", "rank_clean", "name_mapping", "tokens", "df_filter", "topk_terms", "jaccard_edges", "knn_edges", "cos_dense_pairs", "silhouette", "crosstab", "kwic_prev", "split_words", "components"]
+SAMPLE = (
+    "clean_mask rank_clean region_map name_mapping fuzzy_lev ranked_pages pane_pages csv_round_trip tokens token_modes window_filter df_filter df_elbow "
+    "topk_terms sim_stats matched_sim matched_jaccard silhouette crosstab radar timeline_10k term_groups cluster_profile kwic_prev split_words entropy"
+).split()
 
 
 @pytest.fixture(scope="module")
