@@ -91,7 +91,7 @@ class Table:
         self.path = scratch(self.spark)
         # Once the rows are written nobody reads the shuffle files that led to them.
         with _no_leftovers(self.spark):
-            df.write.parquet(self.path)
+            df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(self.path)
         self.schema = df.schema
 
     @property
