@@ -27,13 +27,16 @@ def jaccard_weights(sets: DataFrame) -> DataFrame:
     A document's terms are listed once and paired within it, so that pairs are counted before they are shuffled;
     documents are of bounded length (top-k terms). (doc_id, term) is unique.
     """
-    lists = sets.groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("w"))
+    # Numbers in place of terms: pairs of them are cheaper to group than pairs of strings.
+    names = Table(sets.groupBy("term").agg(F.count("*").alias("f")).withColumn("id", F.monotonically_increasing_id())).df
+    lists = sets.join(names.select("term", "id"), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list("id")).alias("w"))
     after = F.transform("w", lambda a, i: F.struct(a.alias("a"), F.slice("w", i + 2, F.size("w")).alias("rest")))
     pairs = lists.select(F.explode(after).alias("x")).select("x.a", F.explode("x.rest").alias("b"))
     shared = pairs.groupBy("a", "b").agg(F.count("*").alias("i"))
-    f = sets.groupBy("term").agg(F.count("*").alias("f"))
-    met = shared.join(f.select(F.col("term").alias("a"), F.col("f").alias("fa")), "a").join(f.select(F.col("term").alias("b"), F.col("f").alias("fb")), "b")
-    return met.select("a", "b", (F.col("i") / (F.col("fa") + F.col("fb") - F.col("i"))).alias("weight"))
+    first = names.select(F.col("id").alias("a"), F.col("term").alias("ta"), F.col("f").alias("fa"))
+    second = names.select(F.col("id").alias("b"), F.col("term").alias("tb"), F.col("f").alias("fb"))
+    weight = F.col("i") / (F.col("fa") + F.col("fb") - F.col("i"))
+    return shared.join(first, "a").join(second, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), weight.alias("weight"))
 
 
 def threshold_edges(sets: DataFrame, above: float = 0.2) -> DataFrame:

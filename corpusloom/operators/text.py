@@ -25,13 +25,16 @@ STOPWORDS = (
 DOMAIN_WORDS = "qs http https www com org one two also since many well".split()
 KWIC_STOPWORDS = "the a an of in to for and on with its their our have has".split()
 MIN_WORD_LENGTH = 3
+_SIGNS = ";@#$%&?!()[]{}<>\"“”«»*"
 
 
 def raw_tokens(text: Column) -> Column:
     """Lower-cased word tokens as a Treebank-like tokeniser leaves them: mixed and hyphenated forms stay whole."""
-    t = F.regexp_replace(F.lower(text), "’", "'")
+    t = F.replace(F.lower(text), F.lit("’"), F.lit("'"))
     t = F.regexp_replace(t, r"'[\p{L}\p{N}_]+", "")
-    t = F.regexp_replace(t, r'[;@#$%&?!()\[\]{}<>"“”«»*]|--|\.\.+', " ")
+    # Signs one by one without a regular expression; each of these is a word's end wherever it stands.
+    t = F.replace(F.translate(t, _SIGNS, " " * len(_SIGNS)), F.lit("--"), F.lit(" "))
+    t = F.regexp_replace(t, r"\.\.+", " ")
     t = F.regexp_replace(t, r"[,:]([^0-9])", " $1")
     t = F.regexp_replace(t, r"[.,:](\s|$)", " $1")
     return F.split(t, r"\s+")

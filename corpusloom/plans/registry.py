@@ -13,7 +13,7 @@ from corpusloom.operators import aggregate, clean, dense, graph, joins, text, ve
 from corpusloom.operators.match import best_matches
 from corpusloom.plans import sqltext
 from corpusloom.plans.sqltext import GRAPH, WEIGHTS
-from corpusloom.session import Table
+from corpusloom.session import Table, spread
 from corpusloom.sources import features
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,11 +49,12 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, lang, source, pos, term) of all documents."""
-    return _docs(spark, d).select("doc_id", "lang", "source", F.posexplode(text.extract_tokens(F.col("text"))).alias("pos", "term"))
+    docs = spread(_docs(spark, d).select("doc_id", "lang", "source", "text"), "doc_id")
+    return docs.select("doc_id", "lang", "source", F.posexplode(text.extract_tokens(F.col("text"))).alias("pos", "term"))
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.explode(text.word_tokens(F.col("text"))).alias("word"))
+    return spread(_docs(spark, d).select("doc_id", "text"), "doc_id").select("doc_id", F.explode(text.word_tokens(F.col("text"))).alias("word"))
 
 
 def _rounded(df: DataFrame, *columns: str, places: int = 8) -> DataFrame:
@@ -1018,7 +1019,7 @@ h{_k + 1} AS MATERIALIZED (SELECT h0.v, coalesce(r.h, 0) / z AS h FROM h0 LEFT J
 _PR, _HITS = (s.replace(", knn AS (", ", knn AS MATERIALIZED (").replace(",\nknn AS (", ",\nknn AS MATERIALIZED (") for s in (_PR, _HITS))
 
 
-@query("pagerank_rounds", f"SELECT v AS node, round(p, 8) AS rank FROM p{_ROUNDS}", _PR, "tok")
+@query("pagerank_k", f"SELECT v AS node, round(p, 8) AS rank FROM p{_ROUNDS}", _PR, "tok")
 def _(spark, d):
     return graph.pagerank(_knn(spark, d), _ROUNDS, tolerance=None)
 
@@ -1033,7 +1034,7 @@ def _(spark, d):
     return _rounded(graph.hits(_knn(spark, d)), "authority", "hub", places=6)
 
 
-@query("hits_rounds", f"SELECT h.v AS node, round(a, 8) AS authority, round(h, 8) AS hub FROM h{_ROUNDS} h JOIN a{_ROUNDS - 1} a ON a.v = h.v", _HITS, "tok")
+@query("hits_k", f"SELECT h.v AS node, round(a, 8) AS authority, round(h, 8) AS hub FROM h{_ROUNDS} h JOIN a{_ROUNDS - 1} a ON a.v = h.v", _HITS, "tok")
 def _(spark, d):
     return graph.hits(_knn(spark, d), _ROUNDS, None)
 
@@ -1044,7 +1045,7 @@ for _k in range(20):
 _KATZ += ", kz AS (SELECT v, round(sum(x), 10) AS katz FROM (" + " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(1, 21)) + ") x GROUP BY v)"
 
 
-@query("katz", "SELECT v AS node, katz FROM kz", _KATZ, "tok")
+@query("katz_k", "SELECT v AS node, katz FROM kz", _KATZ, "tok")
 def _(spark, d):
     return graph.katz(_edges(spark, d), 0.001)
 

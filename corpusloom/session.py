@@ -47,6 +47,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """A table that is scanned in fewer partitions than there are cores, dealt out over all of them by a column, for work
+    that is much dearer than moving its rows; any larger table as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
