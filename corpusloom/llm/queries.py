@@ -93,6 +93,45 @@ reach(node, root) AS (
 component AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)"""
 
 ORACLES = {
+    # Water level: sources in order of size over weight; those below the level that the rest would then share are full.
+    "op1_source_mix": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) * 8 AS u
+  FROM documents
+),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+ranked AS (SELECT *, CAST([5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS DOUBLE) AS w, 2e0 * source_size AS cap FROM src),
+levels AS (
+  SELECT *, (1.5e0 * sum(source_size) OVER () - coalesce(sum(cap) OVER before_, 0)) / sum(w) OVER rest AS level FROM ranked
+  WINDOW before_ AS (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    rest AS (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+),
+water AS (SELECT min_by(level, cap / w) AS level FROM levels WHERE cap > w * level),
+target AS (SELECT ranked.*, coalesce(least(cap, w * level), cap) AS target FROM ranked LEFT JOIN water ON true),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
+    CAST(round(target) AS BIGINT) - CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END * source_size AS want
+  FROM target
+),
+spot AS (SELECT source, u, sum(size) AS s FROM d WHERE size > 0 GROUP BY source, u),
+upto AS (SELECT *, sum(s) OVER (PARTITION BY source ORDER BY u) AS upto FROM spot)
+SELECT d.doc_id, d.size, p.source_size, p.target, d.source, CAST(p.whole * d.size + CASE
+    WHEN q.upto IS NULL OR p.want <= q.upto - q.s THEN 0
+    WHEN q.upto <= p.want THEN d.size
+    ELSE floor(d.size * (p.want - q.upto + q.s) / CAST(q.s AS DOUBLE)) END AS BIGINT) AS taken
+FROM d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source
+LEFT JOIN upto q ON q.source IS NOT DISTINCT FROM d.source AND q.u = d.u AND d.size > 0
+""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha, min(page_id) AS first FROM p GROUP BY sha)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(p.sha, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
+FROM p JOIN f ON f.sha = p.sha
+""",
     "op2_minhash_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
