@@ -22,7 +22,7 @@ _P = "__corpusloom_"
 LEAST_BITS, MOST_BITS = 16, 28
 _SHARD_BITS = 6
 #: Windows that a partition gathers before it writes out a partial sketch.
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 #: Characters of text whose partial sketches one task per shard merges; so many such merges then meet in one task.
 GROUP_CHARS, FAN = 1 << 31, 64
 
