@@ -397,6 +397,32 @@ def _(spark, d):
     return _round_trip(spark, lambda p: features.write_json(pages, p), lambda p: features.read_score_nodes(spark, [p], "https://example.org", lines=True)).select("title", "url", "rank")
 
 
+@query("source_fallback", "SELECT 'text' AS name, count(text) AS n FROM documents")
+def _(spark, d):
+    path = features.first_existing(spark, [f"{d}/no_such_table.parquet", f"{d}/documents.parquet"])
+    docs = spark.read.parquet(path)
+    column = features.text_column(docs)
+    return docs.agg(F.lit(column).alias("name"), F.count(column).alias("n"))
+
+
+# A feature file is one JSON object over all its documents: that of the first 200 is written and read back.
+@query("features_read", """SELECT CAST(t.doc_id AS VARCHAR) AS name, rank - 1 AS pos, term, lang AS region, CAST(n_chars AS DOUBLE) AS rank FROM top100 t
+JOIN documents d ON d.doc_id = t.doc_id WHERE rank <= 5 AND t.doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 200)""", WEIGHTS, "tok")
+def _(spark, d):
+    first = _docs(spark, d).orderBy("doc_id").limit(200).select("doc_id", "lang", "n_chars")
+    top = vectors.top_k(_weights(spark, d), 5).select("doc_id", "term", "rank").join(first, "doc_id")
+    lists = top.groupBy("doc_id", "lang", "n_chars").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
+    key = F.col("doc_id").cast("string")
+    maps = [F.map_from_entries(F.collect_list(F.struct(key, v))).alias(n) for n, v in (("tokens", F.col("terms")), ("regions", F.col("lang")), ("ranks", F.col("n_chars").cast("double")))]
+    whole = lists.agg(F.struct(F.count("*").alias("n_docs")).alias("info"), *maps)
+
+    def read(path: str) -> DataFrame:
+        tokens, docs = features.read_features(spark, path)
+        return tokens.join(docs, "name").select("name", "pos", "term", "region", "rank")
+
+    return _round_trip(spark, lambda p: features.write_json(whole, p), read)
+
+
 # Tokens and text
 @query("tokens", "SELECT doc_id, pos, term FROM tok", "", "tok")
 def _(spark, d):
