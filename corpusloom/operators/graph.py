@@ -110,29 +110,24 @@ def pagerank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance
 def hits(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-8) -> DataFrame:
     """(node, authority, hub): weighted, authorities first, each half step scaled to length 1. Steps end when both
     vectors move by less than the tolerance, after `rounds` at the latest; tolerance None takes all rounds."""
-    nodes = Table(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
-    start = F.lit(1.0)
-    hub, authority = Table(nodes.df.withColumn("x", start)), Table(nodes.df.withColumn("x", start))
-
-    def half(x: DataFrame, before: Table, come: str, go: str) -> tuple[Table, float]:
-        raw = Table(edges.join(x, F.col(come) == F.col("node")).groupBy(F.col(go).alias("node")).agg(F.sum(F.col("weight") * F.col("x")).alias("y")))
-        z = raw.df.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
-        old = before.df.select("node", F.col("x").alias("old"))
-        after = Table(old.join(raw.df, "node", "left").select("node", "old", (F.coalesce("y", F.lit(0.0)) / z).alias("x")))
-        raw.drop()
-        moved = after.df.agg(F.sqrt(F.sum((F.col("x") - F.col("old")) ** 2))).first()[0] or 0.0
-        return after, moved
-
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    state = Table(nodes.withColumns({"a": F.lit(1.0), "h": F.lit(1.0)}))
+    za = zh = 1.0  # lengths of the two columns, by which they are scaled where they are used
     for _ in range(rounds):
-        new_authority, by_a = half(hub.df, authority, "src", "dst")
-        new_hub, by_h = half(new_authority.df, hub, "dst", "src")
-        authority.drop()
-        hub.drop()
-        authority, hub = new_authority, new_hub
-        if tolerance is not None and max(by_a, by_h) < tolerance:
-            break
-    a = authority.df.select("node", F.col("x").alias("a"))
-    return a.join(hub.df.select("node", "x"), "node").select("node", F.round("a", 8).alias("authority"), F.round("x", 8).alias("hub"))
+        from_hubs = edges.join(state.df, F.col("src") == F.col("node"))
+        authority = from_hubs.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("weight") * F.col("h") / zh).alias("a"))
+        from_authorities = edges.join(authority, F.col("dst") == F.col("node"))
+        hub = from_authorities.groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("a")).alias("h"))
+        old = state.df.select("node", (F.col("a") / za).alias("old_a"), (F.col("h") / zh).alias("old_h"))
+        after = Table(old.join(authority, "node", "left").join(hub, "node", "left").fillna(0.0, ["a", "h"]))
+        za, zh = (x or 1.0 for x in after.df.agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))) for c in ("a", "h")]).first())
+        state.drop()
+        state = after
+        if tolerance is not None:
+            moved = after.df.agg(*[F.sqrt(F.sum((F.col(c) / z - F.col(f"old_{c}")) ** 2)) for c, z in (("a", za), ("h", zh))]).first()
+            if max(x or 0.0 for x in moved) < tolerance:
+                break
+    return state.df.select("node", F.round(F.col("a") / za, 8).alias("authority"), F.round(F.col("h") / zh, 8).alias("hub"))
 
 
 def top_nodes(scores: DataFrame, k: int = 10) -> DataFrame:
