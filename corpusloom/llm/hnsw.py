@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from corpusloom.llm.vectors import dimension, matrix, takes_part, unit
 from corpusloom.session import Table, ship
 
-#: Rows of a shard: an eighth of all, between these bounds; the upper one keeps a graph within a worker's memory.
-LEAST_ROWS, MOST_ROWS = 8_192, 65_536
+#: Rows of a shard: an eighth of all, between these bounds and of no more bytes of vectors than a worker holds with ease.
+LEAST_ROWS, MOST_ROWS, SHARD_BYTES = 8_192, 65_536, 64 << 20
 #: Bytes of the queries that are sent to every executor at once.
 QUERY_BYTES = 32 << 20
 
@@ -190,7 +190,8 @@ def nearest(
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = max(dim, dimension(asked, "v"))
-    shards = max(1, math.ceil(n / (shard_rows or min(MOST_ROWS, max(LEAST_ROWS, n // 8)))))
+    most = max(1, min(MOST_ROWS, SHARD_BYTES // (8 * dim)))
+    shards = max(1, math.ceil(n / (shard_rows or min(most, max(LEAST_ROWS, n // 8)))))
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
     def build(shard: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
