@@ -29,7 +29,10 @@ def jaccard_weights(sets: DataFrame) -> DataFrame:
     """
     # Numbers in place of terms: pairs of them are cheaper to group than pairs of strings.
     names = Table(sets.groupBy("term").agg(F.count("*").alias("f")).withColumn("id", F.monotonically_increasing_id())).df
-    lists = sets.join(names.select("term", "id"), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list("id")).alias("w"))
+    # Pairs are many times the terms: the lists are dealt out by number, not by their own small size.
+    spark = sets.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    lists = sets.join(names.select("term", "id"), "term").repartition(parts, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list("id")).alias("w"))
     after = F.transform("w", lambda a, i: F.struct(a.alias("a"), F.slice("w", i + 2, F.size("w")).alias("rest")))
     pairs = lists.select(F.explode(after).alias("x")).select("x.a", F.explode("x.rest").alias("b"))
     shared = pairs.groupBy("a", "b").agg(F.count("*").alias("i"))
