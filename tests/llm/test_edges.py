@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -361,6 +362,21 @@ def test_pipeline_is_its_stages_one_after_another(spark, tmp_path):
     assert {i for i, _, _ in got} <= set(kept) and zlib.crc32(b"") == 0 and hashlib.sha256(b"").digest()
 
 
+def test_own_tables_have_no_side_files_and_their_pages_are_verified(spark):
+    from corpusloom.session import Table
+
+    table = Table(spark.range(0, 4000, 1, 4).select("id", F.xxhash64("id").alias("h")))
+    folder = Path(table.path.removeprefix("file://").removeprefix("file:"))
+    assert [p.name for p in folder.iterdir() if not p.name.startswith("part-")] == []
+    assert {(r.id, r.h) for r in table.df.collect()} == {(r.id, r.h) for r in spark.range(4000).select("id", F.xxhash64("id").alias("h")).collect()}
+    for part in folder.iterdir():
+        raw = bytearray(part.read_bytes())
+        raw[len(raw) // 2] ^= 1
+        part.write_bytes(raw)
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt"):
+        table.df.collect()
+
+
 def test_every_query_is_registered_over_whole_tables():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert F.lit(1) is not None
