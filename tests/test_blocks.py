@@ -46,3 +46,17 @@ def test_counted_joins_rows_of_one_id(spark):
     rows = [(1, ["a", "b", "a"]), (2, []), (1, ["b"]), (None, ["c", "c"])]
     got = vectors.counts_of(vectors.counted(spark.createDataFrame(rows, "doc_id long, w array<string>"))).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(1, "a", 2), (1, "b", 2), (None, "c", 2)], key=repr)
+
+
+def test_jaccard_pairs_of_blocks(spark, small_chunks):
+    sets = {i: s | {f"own{i}"} for i, s in _sets(90).items()}
+    got = vectors.jaccard_pairs(spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "doc_id long, term string"))
+    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in itertools.combinations(sets, 2) if sets[a] & sets[b]}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.a, r.b): (r.i, r.u) for r in rows} == want and all(r.score == r.i / r.u for r in rows)
+
+
+def test_jaccard_pairs_query_makes_its_pairs_in_blocks(spark):
+    from corpusloom.plans import registry
+
+    assert "MapInArrow" in _plan(registry.QUERIES["jaccard_pairs"](spark, "/root/testdata/sf0.001"))
