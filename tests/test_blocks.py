@@ -60,3 +60,30 @@ def test_jaccard_pairs_query_makes_its_pairs_in_blocks(spark):
     from corpusloom.plans import registry
 
     assert "MapInArrow" in _plan(registry.QUERIES["jaccard_pairs"](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("zeros", [True, False])
+def test_condensed_scores_keep_their_statistics(spark, small_chunks, monkeypatch, zeros):
+    import numpy as np
+
+    # Few bins and values at once, so that the bins of the quantiles have to be divided.
+    monkeypatch.setattr(blocks, "BINS", 12)
+    monkeypatch.setattr(blocks, "TOLD", 40)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(110, 3))
+    x[60:] = x[:50]
+    if zeros:
+        x = np.where(rng.random(x.shape) < 0.6, 0.0, x)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    if zeros:
+        rows = [(i, [k for k in range(3) if v[k]], [float(c) for c in v if c]) for i, v in enumerate(x) if v.any()]
+        out = blocks.condensed(spark.createDataFrame(rows, "id long, terms array<long>, u array<double>"), "terms", blocks.sparse_cosine(), zeros_of=len(x))
+    else:
+        out = blocks.condensed(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "v", blocks.dense_cosine())
+    rows = out.collect()
+    scores = (x @ x.T)[np.triu_indices(len(x), 1)]
+    # Before, each of the 5,995 pairs was a row for the aggregates.
+    assert len(rows) < 600 and sum(r.times for r in rows) == len(scores)
+    told = np.sort(np.repeat([r.score for r in rows], [r.times for r in rows]))
+    assert told.mean() == pytest.approx(scores.mean()) and (told[0], told[-1]) == pytest.approx((scores.min(), scores.max()))
+    assert np.quantile(told, [0.25, 0.5, 0.75]) == pytest.approx(np.quantile(scores, [0.25, 0.5, 0.75]), abs=1e-12)
