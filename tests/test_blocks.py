@@ -87,3 +87,10 @@ def test_condensed_scores_keep_their_statistics(spark, small_chunks, monkeypatch
     told = np.sort(np.repeat([r.score for r in rows], [r.times for r in rows]))
     assert told.mean() == pytest.approx(scores.mean()) and (told[0], told[-1]) == pytest.approx((scores.min(), scores.max()))
     assert np.quantile(told, [0.25, 0.5, 0.75]) == pytest.approx(np.quantile(scores, [0.25, 0.5, 0.75]), abs=1e-12)
+
+
+def test_sim_stats_meets_no_pairs_as_rows(spark):
+    from corpusloom.plans import registry
+
+    # 200 documents and 500 vectors have 144,650 pairs, each of them a row before.
+    assert registry._all_sims(spark, "/root/testdata/sf0.001").count() < 20_000
