@@ -94,3 +94,12 @@ def test_sim_stats_meets_no_pairs_as_rows(spark):
 
     # 200 documents and 500 vectors have 144,650 pairs, each of them a row before.
     assert registry._all_sims(spark, "/root/testdata/sf0.001").count() < 20_000
+
+
+def test_cosine_blocks_are_dealt_by_large_chunks(spark):
+    from corpusloom.operators import dense
+
+    vectors_ = spark.range(5000).selectExpr("id AS vec_id", "array(cast(id + 1 AS double), 1.0D) AS embedding")
+    near = dense.cosine_blocks(vectors_, -2.0)
+    # Pairs of up to 4,096 rows a chunk: a vector is shipped once for each chunk, before once for each 1,024 rows.
+    assert _plan(near).startswith("MapInArrow") and near.count() == 5000 * 4999 // 2
