@@ -6,7 +6,10 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +18,8 @@ from corpusloom.session import Table, ship
 
 #: Louvain, residual closeness and GEXF hold a whole thresholded token graph at once; larger ones are refused.
 LOCAL_EDGES = 1_000_000
+#: Terms whose pairs a task counts in one matrix of its own.
+HEAVY = 4096
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -23,23 +28,73 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def jaccard_weights(sets: DataFrame) -> DataFrame:
     """G1: (a, b, weight), a < b, of terms that share documents: shared documents over all documents of either.
+    (doc_id, term) is unique."""
+    return list_weights(Table(sets.groupBy("doc_id").agg(F.collect_list("term").alias("terms"))).df)
 
-    A document's terms are listed once and paired within it, so that pairs are counted before they are shuffled;
-    documents are of bounded length (top-k terms). (doc_id, term) is unique.
+
+def list_weights(lists: DataFrame) -> DataFrame:
+    """G1 of one row a document, with all its terms in a list of bounded length (top-k terms).
+
+    Pairs of the most frequent terms are counted in each task as a matrix product of documents, so that what is shuffled
+    grows with the terms and tasks only; pairs with any other term are made within the document's list.
     """
+    names = Table(lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("f"))).df
+    top = names.orderBy(F.desc("f"), "term").limit(HEAVY)
+    shared = _heavy_pairs(lists, [r.term for r in top.collect()])  # HEAVY at most
+    if names.count() > HEAVY:
+        shared = shared.union(_light_pairs(lists, names, top))
+    first = names.select(F.col("term").alias("a"), F.col("f").alias("fa"))
+    second = names.select(F.col("term").alias("b"), F.col("f").alias("fb"))
+    weight = F.col("i") / (F.col("fa") + F.col("fb") - F.col("i"))
+    return shared.join(first, "a").join(second, "b").select("a", "b", weight.alias("weight"))
+
+
+def _heavy_pairs(lists: DataFrame, terms: list[str]) -> DataFrame:
+    """(a, b, i), a < b, of the terms given."""
+    spark = ship(lists.sparkSession)
+    terms = sorted(terms)
+    names = pa.array(terms, pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(names)
+        total = np.zeros((n, n))
+        for batch in batches:
+            at = pc.fill_null(pc.index_in(batch.column(0).flatten(), value_set=names), -1).to_numpy()
+            row = np.repeat(np.arange(len(batch)), np.diff(batch.column(0).offsets.to_numpy()))
+            for k in range(0, len(batch), 1000):
+                cells = (row >= k) & (row < k + 1000) & (at >= 0)
+                has = np.zeros((min(1000, len(batch) - k), n), np.float32)
+                has[row[cells] - k, at[cells]] = 1
+                total += has.T @ has
+        a, b = np.nonzero(np.triu(total, 1))
+        for k in range(0, len(a), 262_144):
+            i, j = a[k : k + 262_144], b[k : k + 262_144]
+            yield pa.RecordBatch.from_pydict({"a": i.astype(np.int32), "b": j.astype(np.int32), "i": total[i, j].astype(np.int64)})
+
+    # Each task sends up to a row a pair of terms: as many tasks as keep the cores busy, whatever the number of documents.
+    tasks = lists.select("terms").coalesce(2 * spark.sparkContext.defaultParallelism)
+    counts = tasks.mapInArrow(count, "a int, b int, i long").groupBy("a", "b").agg(F.sum("i").alias("i"))
+    named = spark.createDataFrame(list(enumerate(terms)), "n int, t string")
+    for end in ("a", "b"):
+        counts = counts.join(F.broadcast(named.withColumnRenamed("n", end).withColumnRenamed("t", f"t{end}")), end)
+    return counts.select(F.col("ta").alias("a"), F.col("tb").alias("b"), "i")
+
+
+def _light_pairs(lists: DataFrame, names: DataFrame, top: DataFrame) -> DataFrame:
+    """(a, b, i), a < b, of pairs of which one term at least is not among the top ones."""
     # Numbers in place of terms: pairs of them are cheaper to group than pairs of strings.
-    names = Table(sets.groupBy("term").agg(F.count("*").alias("f")).withColumn("id", F.monotonically_increasing_id())).df
+    marked = names.select("term").join(F.broadcast(top.select("term", F.lit(True).alias("heavy"))), "term", "left")
+    ids = Table(marked.select("term", F.col("heavy").isNull().alias("light"), F.monotonically_increasing_id().alias("id"))).df
     # Pairs are many times the terms: the lists are dealt out by number, not by their own small size.
-    spark = sets.sparkSession
+    spark = lists.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    lists = sets.join(names.select("term", "id"), "term").repartition(parts, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list("id")).alias("w"))
-    after = F.transform("w", lambda a, i: F.struct(a.alias("a"), F.slice("w", i + 2, F.size("w")).alias("rest")))
-    pairs = lists.select(F.explode(after).alias("x")).select("x.a", F.explode("x.rest").alias("b"))
-    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("i"))
-    first = names.select(F.col("id").alias("a"), F.col("term").alias("ta"), F.col("f").alias("fa"))
-    second = names.select(F.col("id").alias("b"), F.col("term").alias("tb"), F.col("f").alias("fb"))
-    weight = F.col("i") / (F.col("fa") + F.col("fb") - F.col("i"))
-    return shared.join(first, "a").join(second, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), weight.alias("weight"))
+    cells = lists.withColumn("doc", F.monotonically_increasing_id()).select("doc", F.explode("terms").alias("term")).join(ids, "term")
+    dealt = cells.repartition(parts, "doc").groupBy("doc").agg(F.collect_list(F.struct("light", "id")).alias("w"))
+    pairs = dealt.select("w", F.explode(F.filter("w", lambda x: x["light"])).alias("x"))
+    other = F.explode(F.filter("w", lambda y: ~y["light"] | (y["id"] < F.col("x.id"))))
+    shared = pairs.select(F.col("x.id").alias("a"), other.alias("y")).select("a", F.col("y.id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("i"))
+    first, second = ids.select(F.col("id").alias("a"), F.col("term").alias("ta")), ids.select(F.col("id").alias("b"), F.col("term").alias("tb"))
+    return shared.join(first, "a").join(second, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "i")
 
 
 def threshold_edges(sets: DataFrame, above: float = 0.2) -> DataFrame:

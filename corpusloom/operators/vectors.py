@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +14,9 @@ from pyspark.sql.window import Window
 from corpusloom.operators import blocks
 from corpusloom.session import Table, ship
 
+#: Kept terms up to this number are with each task that ranks them.
+LISTED = 200_000
+
 
 def term_counts(tokens: DataFrame) -> DataFrame:
     """M1: (doc_id, term, tf)."""
@@ -70,6 +74,37 @@ def top_k(weights: DataFrame, k: int = 100) -> DataFrame:
     return weights.filter("tfidf > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def top_lists(documents: DataFrame, kept: DataFrame, n_docs: int, k: int = 100) -> DataFrame:
+    """M6 in one row a document: (doc_id, terms) of `counted` rows and kept terms (term, df), heaviest first; documents
+    without any have no row. Weights are worked out within a row, the kept terms being with each task."""
+    ship(documents.sparkSession)
+    if kept.count() > LISTED:
+        best = top_k(tfidf(counts_of(documents).join(kept, "term"), n_docs), k).groupBy("doc_id")
+        return best.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
+    known = sorted(map(tuple, kept.select("term", F.log(F.lit(float(n_docs)) / F.col("df"))).collect()))  # LISTED at most
+    names, idf = pa.array([t for t, _ in known], pa.string()), np.array([w for _, w in known], float)
+
+    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(1).offsets.to_numpy()
+            at = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=names), -1).to_numpy()
+            row = np.repeat(np.arange(len(batch)), np.diff(ends))[at >= 0]
+            tf, at = batch.column(2).flatten().to_numpy()[at >= 0], at[at >= 0]
+            weight = tf / np.bincount(row, tf, len(batch))[row] * idf[at]
+            row, at, weight = row[weight > 0], at[weight > 0], weight[weight > 0]
+            order = np.lexsort((at, -np.round(weight, 12), row))
+            row, at = row[order], at[order]
+            first = np.searchsorted(row, np.arange(len(batch)))
+            row, at = (x[np.arange(len(row)) - first[row] < k] for x in (row, at))
+            found = np.unique(row)
+            cuts = np.append(np.searchsorted(row, found), len(row)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), names.take(pa.array(at)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found)), lists], ["doc_id", "terms"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "terms", "tf").mapInArrow(best_of, f"doc_id {kind}, terms array<string>")
+
+
 def sparsity(kept: DataFrame, n_docs: int) -> DataFrame:
     """M3: the share of empty cells of the matrix in percent; null without terms."""
     shape = kept.agg(F.count("*").alias("nnz"), F.countDistinct("term").alias("terms"))

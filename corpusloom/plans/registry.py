@@ -967,13 +967,20 @@ def _(spark, d):
 
 
 # The token graph
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, terms): the top-100 terms of each document in one row."""
+    documents, n = _counted(spark, d), _docs(spark, d).count()
+    kept = Table(vectors.kept_terms(vectors.counts_of(documents), n)).df
+    return Table(vectors.top_lists(documents, kept, n, 100)).df
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return Table(graph.threshold_edges(_top100(spark, d).select("doc_id", "term"), 0.2)).df
+    return Table(graph.list_weights(_lists(spark, d)).filter("weight > 0.2")).df
 
 
 def _knn(spark: SparkSession, d: str) -> DataFrame:
-    top = Table(_top100(spark, d).select("doc_id", "term")).df
-    return Table(graph.knn_edges(graph.jaccard_weights(top), graph.entropies(top))).df
+    lists = _lists(spark, d)
+    return Table(graph.knn_edges(graph.list_weights(lists), graph.entropies(lists.select("doc_id", F.explode("terms").alias("term"))))).df
 
 
 @query("jaccard_edges", "SELECT a, b, round(weight, 8) AS weight FROM edges", GRAPH, "tok")
@@ -987,7 +994,7 @@ ent AS (SELECT term, -(f * ((1 + 1e-10) / s) * ln((1 + 1e-10) / s) + (d - f) * (
 
 
 def _entropies(spark, d) -> DataFrame:
-    return graph.entropies(_top100(spark, d).select("doc_id", "term"))
+    return graph.entropies(_lists(spark, d).select("doc_id", F.explode("terms").alias("term")))
 
 
 @query("entropy", "SELECT term, round(entropy, 8) AS entropy FROM ent", _ENT, "tok")
