@@ -142,3 +142,15 @@ def test_split_words_takes_long_words(spark, tmp_path):
         want += [(w, f"{w[:cut]} {w[cut:]}")] if cut else []
     assert max(len(w) for w, _ in want) > 20 and len(want) == 3
     assert sorted(map(tuple, registry.QUERIES["split_words"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("fixes_sent", [200_000, 0])
+def test_rewrite_merged_shuffles_no_pieces(spark, monkeypatch, fixes_sent):
+    monkeypatch.setattr(text, "FIXES", fixes_sent)
+    docs = spark.createDataFrame([(1, "labwork a, b labwork.C"), (1, "labwork"), (None, "labwork"), (2, None)], "doc_id long, text string")
+    fixes = spark.createDataFrame([("labwork", "lab work", True), ("a", "a", False)], "word string, fixed string, changed boolean")
+    out = text.rewrite_merged(docs, fixes)
+    # Blanks and signs were rows of one key each before, and rows of one id were mixed into one text.
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = [(1, "lab work a, b lab work. C", 2), (1, "lab work", 1), (None, "lab work", 1), (2, "", 0)]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
